@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from siftline.llm import pii
 from siftline.llm.encode import encode
 from siftline.session import table
 
@@ -14,8 +16,26 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(table(spark, d, "documents"), "doc_id", "text")
 
 
+def _pii_parts(spark: SparkSession, d: str) -> tuple[set[str], set[str]]:
+    given, surnames = pii.known_parts(table(spark, d, "name_parts"))
+    return pii.learn_parts(table(spark, d, "documents"), "doc_id", "text", given, surnames)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    spans = pii.find(table(spark, d, "documents"), "doc_id", "text", *_pii_parts(spark, d))
+    # distinct within a document, so without a shuffle
+    return spans.select("doc_id", F.explode(F.array_distinct(F.transform("spans", lambda s: F.struct(s.kind, s.mention)))).alias("s")).select(
+        "doc_id", F.col("s.kind").alias("pii_type"), F.col("s.mention").alias("mention")
+    )
+
+
+def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
+    out = pii.find(table(spark, d, "documents"), "doc_id", "text", *_pii_parts(spark, d), with_text=True)
+    return out.select("doc_id", F.col("redacted").alias("text"), F.size("spans").alias("n_mentions"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_ids": p6_ids}
+    return {"p6_ids": p6_ids, "p8_found": p8_found, "p8_redacted": p8_redacted}
 
 
 def oracle_sql() -> dict[str, str]:
