@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import pii
+from siftline.llm import budget, packing, pii
 from siftline.llm.encode import encode
 from siftline.session import table
 
@@ -16,6 +16,15 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p4_token_budget(spark: SparkSession, d: str) -> DataFrame:
+    return budget.catalog_budget(table(spark, d, "tool_catalog"), table(spark, d, "mcp_server_config"))
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    specs = [(r.spec_id, r.capacity_tokens) for r in table(spark, d, "pack_specs").select("spec_id", "capacity_tokens").orderBy("spec_id").take(64)]
+    return packing.pack(table(spark, d, "documents"), "doc_id", "text", specs)
+
+
 def _pii_parts(spark: SparkSession, d: str) -> tuple[set[str], set[str]]:
     given, surnames = pii.known_parts(table(spark, d, "name_parts"))
     return pii.learn_parts(table(spark, d, "documents"), "doc_id", "text", given, surnames)
@@ -35,7 +44,7 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_ids": p6_ids, "p8_found": p8_found, "p8_redacted": p8_redacted}
+    return {"p4_token_budget": p4_token_budget, "p7_containers": p7_containers, "p6_ids": p6_ids, "p8_found": p8_found, "p8_redacted": p8_redacted}
 
 
 def oracle_sql() -> dict[str, str]:
