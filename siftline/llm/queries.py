@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import budget, packing, pii
+from siftline.llm import budget, duplicates, packing, pii
 from siftline.llm.encode import encode
 from siftline.session import table
 
@@ -16,6 +16,17 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    records = duplicates.case_records(table(spark, d, "queries_before_review"), table(spark, d, "case_lines"))
+    return duplicates.copies(records, ["tab"], "id")
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Each case once, with the number of its copies."""
+    records = duplicates.case_records(table(spark, d, "queries_before_review"), table(spark, d, "case_lines"))
+    return duplicates.groups(records, ["tab"], "id").select("tab", "keep_id", "n_copies")
+
+
 def p4_token_budget(spark: SparkSession, d: str) -> DataFrame:
     return budget.catalog_budget(table(spark, d, "tool_catalog"), table(spark, d, "mcp_server_config"))
 
@@ -44,7 +55,7 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_token_budget": p4_token_budget, "p7_containers": p7_containers, "p6_ids": p6_ids, "p8_found": p8_found, "p8_redacted": p8_redacted}
+    return {"p3_found": p3_found, "p3_groups": p3_groups, "p4_token_budget": p4_token_budget, "p7_containers": p7_containers, "p6_ids": p6_ids, "p8_found": p8_found, "p8_redacted": p8_redacted}
 
 
 def oracle_sql() -> dict[str, str]:
