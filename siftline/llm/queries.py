@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import budget, duplicates, packing, pii
+from siftline.llm import budget, duplicates, neighbours, packing, pii
 from siftline.llm.encode import encode
 from siftline.session import table
 
@@ -16,6 +16,14 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.neighbours(table(spark, d, "embedding_cache"), "vec_id", "model", "v")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.mutual_pairs(p1_neighbours(spark, d))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     records = duplicates.case_records(table(spark, d, "queries_before_review"), table(spark, d, "case_lines"))
     return duplicates.copies(records, ["tab"], "id")
@@ -55,7 +63,7 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p3_groups": p3_groups, "p4_token_budget": p4_token_budget, "p7_containers": p7_containers, "p6_ids": p6_ids, "p8_found": p8_found, "p8_redacted": p8_redacted}
+    return {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p3_found": p3_found, "p3_groups": p3_groups, "p4_token_budget": p4_token_budget, "p7_containers": p7_containers, "p6_ids": p6_ids, "p8_found": p8_found, "p8_redacted": p8_redacted}
 
 
 def oracle_sql() -> dict[str, str]:
