@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import budget, duplicates, neighbours, packing, pii
+from siftline.llm import budget, duplicates, neighbours, packing, pii, spans
 from siftline.llm.encode import encode
 from siftline.session import table
 
@@ -24,6 +24,23 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.mutual_pairs(p1_neighbours(spark, d))
 
 
+def _fields(spark: SparkSession, d: str) -> DataFrame:
+    tools = table(spark, d, "tool_catalog")
+    parts = [tools.select(F.lit("tool_catalog").alias("tab"), F.col("tool_id").alias("rec_id"), F.lit(c).alias("field_name"), F.col(c).alias("text")) for c in ("description", "augmented_description")]
+    drafts = table(spark, d, "queries_before_review")
+    parts.append(drafts.select(F.lit("queries_before_review").alias("tab"), F.col("query_id").alias("rec_id"), F.lit("query").alias("field_name"), F.col("query").alias("text")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_stretches(_fields(spark, d))
+
+
+def p2_shares(spark: SparkSession, d: str) -> DataFrame:
+    """For each field with shared stretches, how many of its characters are shared."""
+    return p2_found(spark, d).groupBy("tab", "rec_id", "field_name").agg(F.sum(F.col("end_char") - F.col("start_char")).alias("n_shared"), F.count("*").alias("n_stretches"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     records = duplicates.case_records(table(spark, d, "queries_before_review"), table(spark, d, "case_lines"))
     return duplicates.copies(records, ["tab"], "id")
@@ -63,7 +80,7 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p3_found": p3_found, "p3_groups": p3_groups, "p4_token_budget": p4_token_budget, "p7_containers": p7_containers, "p6_ids": p6_ids, "p8_found": p8_found, "p8_redacted": p8_redacted}
+    return {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_shares": p2_shares, "p3_found": p3_found, "p3_groups": p3_groups, "p4_token_budget": p4_token_budget, "p7_containers": p7_containers, "p6_ids": p6_ids, "p8_found": p8_found, "p8_redacted": p8_redacted}
 
 
 def oracle_sql() -> dict[str, str]:
