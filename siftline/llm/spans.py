@@ -100,7 +100,8 @@ def shared_stretches(records: DataFrame, least: int = LEAST, gram: int = GRAM) -
     points.
     """
     rows = records.where(F.length("text") >= least).withColumn("key", F.struct(F.xxhash64("text").alias("a"), F.hash("text").alias("b"), F.length("text").alias("n")))
-    rows = rows.withColumn("rec", F.concat_ws(":", "tab", F.col("rec_id").cast("string")))
+    # records are told apart by a 64-bit hash, so that all groupings aggregate in fixed-width buffers
+    rows = rows.withColumn("rec", F.xxhash64("tab", "rec_id"))
     texts = rows.groupBy("key").agg(F.first("text").alias("text"), F.min("rec").alias("lo"), F.max("rec").alias("hi"))
     texts = materialise(texts.select("key", "text", "lo", "hi"), "texts")
 
@@ -126,10 +127,10 @@ def shared_stretches(records: DataFrame, least: int = LEAST, gram: int = GRAM) -
                 start = stop
 
     key_type = "struct<a:bigint,b:int,n:int>"
-    found = texts.mapInArrow(blocks, f"key {key_type}, lo string, hi string, anchor long, at int, begin int, windows int, whole long")
+    found = texts.mapInArrow(blocks, f"key {key_type}, lo long, hi long, anchor long, at int, begin int, windows int, whole long")
     found = materialise(found, "found")
     # the blocks of anchors that no other record holds end here; min and max are combined before the shuffle
-    held = found.groupBy("anchor", "whole", "at", "windows").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("times"), F.min_by(F.struct("key", "begin"), "lo").alias("one"))
+    held = found.groupBy("anchor", "whole", "at", "windows").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("times"), *[F.first(f"key.{c}").alias(f"one_{c}") for c in "abn"], F.first("begin").alias("one_begin"))
     held = materialise(held, "blocks")
     anchors = held.groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("kinds")).where("lo <> hi")
     index = held.join(anchors.select("anchor", "kinds"), "anchor")
@@ -141,7 +142,7 @@ def _window_rows(held: list[tuple]) -> pa.RecordBatch:
     counts = np.concatenate([x[2] for x in held])
     parts = [p for x in held for p in x[3]]
     owner = pa.array(np.repeat(np.arange(len(parts)), counts))
-    columns = [pa.array([p[c] for p in parts], t).take(owner) for c, t in (("whole", pa.int64()), ("lo", pa.string()), ("hi", pa.string()))]
+    columns = [pa.array([p[c] for p in parts], t).take(owner) for c, t in (("whole", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()))]
     w, hashes = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
     return pa.RecordBatch.from_arrays([columns[0], pa.array(w, pa.int32()), pa.array(hashes), columns[1], columns[2]], ["whole", "w", "hash", "lo", "hi"])
 
@@ -163,10 +164,10 @@ def _parse(rows: DataFrame, texts: DataFrame, found: DataFrame, index: DataFrame
             if held:
                 yield _window_rows(held)
 
-    mixed = index.where("kinds > 1").select(F.col("one.key").alias("key"), F.struct("whole", F.col("one.begin").alias("begin"), "windows", "lo", "hi").alias("p"))
+    mixed = index.where("kinds > 1").select(F.struct(*[F.col(f"one_{c}").alias(c) for c in "abn"]).alias("key"), F.struct("whole", F.col("one_begin").alias("begin"), "windows", "lo", "hi").alias("p"))
     # each text's own blocks: no more than the text is long
     picked = mixed.groupBy("key").agg(F.collect_list("p").alias("picked")).join(texts.select("key", "text"), "key").select("text", "picked")
-    each = picked.mapInArrow(windows, "whole long, w int, hash long, lo string, hi string")
+    each = picked.mapInArrow(windows, "whole long, w int, hash long, lo long, hi long")
     each = materialise(each.groupBy("whole", "w", "hash").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "windows")
     common = each.groupBy("hash").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h").select("hash")
     # runs of shared windows inside a block
