@@ -426,7 +426,7 @@ def idx8(spark, d):
     def lengths(s: pd.Series) -> pd.Series:
         return s.fillna("").map(lambda x: [float(len(x)), float(x.count(" ")), 1.0])
 
-    return c.texts(spark, d).select("name", ix.normalise(lengths("text")).alias("v"))
+    return c.texts(spark, d).select("name", lengths("text").alias("v")).select("name", ix.normalise(F.col("v")).alias("v"))
 
 
 @R.add("idx10_augment")

@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROW_GROUP_BYTES = 8 << 20
+
 
 def local_session(app: str = "siftline", cores: str = "*", **conf: str) -> SparkSession:
     """A local session for tests and the bench; on a cluster the caller brings their own."""
@@ -39,10 +41,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives a lost executor."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives a lost executor.
+
+    Row groups are small, so that the next stage reads a file in as many tasks as there are cores.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
