@@ -168,13 +168,13 @@ def _parse(rows: DataFrame, texts: DataFrame, found: DataFrame, index: DataFrame
     # each text's own blocks: no more than the text is long
     picked = mixed.groupBy("key").agg(F.collect_list("p").alias("picked")).join(texts.select("key", "text"), "key").select("text", "picked")
     each = picked.mapInArrow(windows, "whole long, w int, hash long, lo long, hi long")
-    each = materialise(each.groupBy("whole", "w", "hash").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "windows")
+    each = materialise(each, "windows")  # a block stands in the index once, so a window of it does too
     common = each.groupBy("hash").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h").select("hash")
-    # runs of shared windows inside a block
-    shared = each.join(common, "hash").select("whole", "w")
+    # runs of shared windows inside a block; the blocks that two records hold whole need no look-up
+    shared = each.where("lo = hi").join(common, "hash").select("whole", "w")
     run = shared.withColumn("g", F.col("w") - F.row_number().over(Window.partitionBy("whole").orderBy("w")))
     parts = run.groupBy("whole", "g").agg(F.min("w").alias("w0"), F.max("w").alias("w1")).select("whole", "w0", "w1")
-    wholes = index.where("lo <> hi and kinds = 1").select("whole", F.lit(0).alias("w0"), (F.col("windows") - 1).alias("w1")).distinct()
+    wholes = index.where("lo <> hi").select("whole", F.lit(0).alias("w0"), (F.col("windows") - 1).alias("w1")).distinct()
     factors = parts.unionByName(wholes)
     spans = found.select("key", "whole", "begin").join(factors, "whole").select("key", (F.col("begin") + F.col("w0")).alias("s"), (F.col("begin") + F.col("w1") + least).alias("e"))
     # factors of one text that touch or overlap are one stretch
