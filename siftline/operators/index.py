@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,15 +31,26 @@ def lengths(tokenised: DataFrame) -> DataFrame:
 
 
 def postings(tokenised: DataFrame) -> DataFrame:
-    """``(id, term, tf, dl)``. Terms are counted within the row, so there is no shuffle."""
-    distinct = F.array_distinct("tokens")
-    counted = F.transform(distinct, lambda t: F.struct(t.alias("term"), F.size(F.filter("tokens", lambda x: x == t)).cast("bigint").alias("tf")))
-    # short texts count in place; long ones would do so in quadratic time and are counted by grouping
-    short, long = tokenised.where(F.size("tokens") <= 256), tokenised.where(F.size("tokens") > 256)
-    dl = F.size("tokens").cast("bigint").alias("dl")
-    a = short.select("id", F.explode(counted).alias("p"), dl).select("id", "p.term", "p.tf", "dl")
-    b = long.select("id", F.explode("tokens").alias("term"), dl).groupBy("id", "term", "dl").agg(F.count("*").alias("tf")).select("id", "term", "tf", "dl")
-    return a.unionByName(b)
+    """``(id, term, tf, dl)``. Terms are counted batch by batch where the documents lie, so there is no shuffle; the work is
+    linear in the number of tokens (a document is whole within its row, whatever its length)."""
+    kind = tokenised.schema["id"].dataType.simpleString()
+    source = tokenised.select("id", "tokens")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                batch = whole.slice(start, 1024)
+                lists = batch.column(1)
+                terms = pc.dictionary_encode(lists.flatten())
+                dl = np.diff(lists.offsets.to_numpy())
+                if not len(terms):
+                    continue
+                size = len(terms.dictionary)
+                key, tf = np.unique(np.repeat(np.arange(batch.num_rows), dl) * size + terms.indices.to_numpy(), return_counts=True)
+                owner = key // size
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), terms.dictionary.take(pa.array(key % size)), pa.array(tf), pa.array(dl[owner].astype(np.int64))], ["id", "term", "tf", "dl"])
+
+    return source.mapInArrow(run, f"id {kind}, term string, tf long, dl long")
 
 
 def document_frequency(post: DataFrame) -> DataFrame:
