@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.tokenizer import LONG_WORD, bpe_of, read_ranks
+from siftline.session import spread
 
 FLUSH_ENTRIES = 200_000
 
@@ -27,7 +28,7 @@ def token_totals(df: DataFrame, slice_cols: Sequence[str], text_cols: Sequence[s
     """
     ranks = df.sparkSession.sparkContext.broadcast(read_ranks(tokenizer))
     n_slices, fields = len(slice_cols), list(text_cols)
-    source = df.select(*[F.col(c).cast("string").alias(f"s{i}") for i, c in enumerate(slice_cols)], *[F.col(c).alias(f"t{i}") for i, c in enumerate(fields)])
+    source = spread(df.select(*[F.col(c).cast("string").alias(f"s{i}") for i, c in enumerate(slice_cols)], *[F.col(c).alias(f"t{i}") for i, c in enumerate(fields)]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = bpe_of(ranks.value)

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from siftline.llm.tokenizer import bpe_of, read_ranks
+from siftline.session import spread
 
 ROWS_PER_BATCH = 1024
 
@@ -20,7 +21,7 @@ def encode(df: DataFrame, id_col: str, text_col: str, tokenizer: str | None = No
     There is no shuffle, and the only thing sent to the executors is the vocabulary file.
     """
     ranks = df.sparkSession.sparkContext.broadcast(read_ranks(tokenizer))
-    source = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
+    source = spread(df.select(df[id_col].alias("id"), df[text_col].alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = bpe_of(ranks.value)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.tokenizer import bpe_of, read_ranks
-from siftline.session import materialise
+from siftline.session import materialise, spread
 
 SHARD_DOCS = 4096
 MERGE_SHARDS = 64
@@ -192,6 +192,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, specs: Sequence[tuple[int,
     if any(c is None or c < 1 for _, c in specs):
         raise ValueError("a capacity must be positive")
     ranks = spark.sparkContext.broadcast(read_ranks(tokenizer))
+    docs = spread(docs.select(id_col, text_col))
     stats = corpus_statistics(docs, id_col, text_col, ranks)
     n_shards = max(1, -(-stats[0] // SHARD_DOCS))
     shards = signatures(docs, id_col, text_col, ranks, stats).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(n_shards)))
