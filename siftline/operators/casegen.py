@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import hashlib
+import heapq
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +13,7 @@ from pyspark.sql import types as T
 
 from siftline.functions import text as tx
 
+CASE_BLOCK = 4_096
 DRAFT = T.StructType(
     [
         T.StructField("direct", T.ArrayType(T.StringType())),
@@ -181,17 +184,14 @@ def random_subset(cases: DataFrame, catalog: DataFrame, n: int, seed: int = 7, s
     seed, case and n. A catalog of no more than n rows is shown whole.
 
     Others are drawn by md5(seed, case, n, name). Only the n names of each case that come first in md5 order are needed, so
-    each partition of the catalog keeps n per case before the shuffle.
+    each batch of the catalog keeps n per case before the shuffle. Names in ``catalog`` are unique.
     """
     total = catalog.count() if size is None else size
-    order = draw(seed, F.col("query_id"), F.lit(n), F.col("name"))
     expected = cases.select("query_id", F.explode(F.array_distinct("expected")).alias("name")).join(catalog.select("name"), "name", "left_semi")
+    drawn = _drawn(cases, catalog, min(n, total), f"{seed}", n, whole=total <= n)
     if total <= n:
-        every = cases.select("query_id").join(catalog.select("name"))
-        return every.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("name")))
-    # a stated query set against all rows
-    drawn = cases.select("query_id", "expected").join(catalog.select("name")).where(~F.array_contains("expected", F.col("name"))).select("query_id", "name")
-    w = Window.partitionBy("query_id").orderBy(order, "name")
+        return drawn.select("query_id", "name").withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("name")))
+    w = Window.partitionBy("query_id").orderBy("d", "name")
     drawn = drawn.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
     have = expected.groupBy("query_id").agg(F.count("*").alias("have"))
     drawn = drawn.join(have, "query_id", "left").where(F.col("rn") <= n - F.coalesce("have", F.lit(0))).select("query_id", "name")
@@ -200,6 +200,34 @@ def random_subset(cases: DataFrame, catalog: DataFrame, n: int, seed: int = 7, s
     return both.withColumn("pos", F.row_number().over(shuffled))
 
 
+def _drawn(cases: DataFrame, catalog: DataFrame, keep: int, seed: str, n: int, whole: bool) -> DataFrame:
+    """``(query_id, name, d)``: of each batch of the catalog the ``keep`` names that come first in md5 order for each case.
+
+    The cases are a stated query set, held in blocks of ``CASE_BLOCK``; every block passes over the catalog once.
+    """
+    held = cases.select("query_id", "expected")
+    blocks = max(1, -(-held.count() // CASE_BLOCK))
+    kind = held.schema["query_id"].dataType.simpleString()
+    parts = []
+    for b in range(blocks):
+        block = held if blocks == 1 else held.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        shared = cases.sparkSession.sparkContext.broadcast([(r.query_id, frozenset(r.expected or ())) for r in block.collect()])
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                names = batch.column(0).to_pylist()
+                for query_id, expected in shared.value:
+                    rows = ((hashlib.md5(f"{seed}:{query_id}:{n}:{x}".encode()).hexdigest(), x) for x in names if whole or x not in expected)
+                    best = list(rows) if whole else heapq.nsmallest(keep, rows)
+                    yield pa.RecordBatch.from_arrays([pa.array([query_id] * len(best)), pa.array([x for _, x in best], pa.string()), pa.array([d for d, _ in best], pa.string())], ["query_id", "name", "d"])
+
+        parts.append(catalog.select("name").where("name is not null").mapInArrow(run, f"query_id {kind}, name string, d string"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def shuffled(found: DataFrame, seed: int = 7) -> DataFrame:
     """A shortlist in an order fixed by seed and query instead of best first: adds ``pos``."""
     return found.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(draw(seed, F.col("query_id"), F.lit("shuffle"), F.col("id")), "id")))

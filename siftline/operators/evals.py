@@ -85,19 +85,29 @@ def gating(picks: DataFrame, thresholds: Sequence[float] = (0.5, 0.7, 0.9), by:
     return wide.select(*by, F.explode(rows).alias("x")).select(*by, "x.*")
 
 
-def percentile(rows: DataFrame, value: str, by: Sequence[str], points: Sequence[float]) -> DataFrame:
+def percentile(rows: DataFrame, value: str, by: Sequence[str], points: Sequence[float], accuracy: int = 10_000) -> DataFrame:
     """``(by..., p<point>...)``: the value at index round-half-even(point/100 * (n - 1)) in sorted order; nulls are left out.
 
-    Values are counted first, so that a group is sorted by its distinct values only.
+    Exact, without sorting large groups: in a group of more than ten times ``accuracy`` values, an approximate percentile
+    (whose rank is wrong by n / accuracy at most) bounds each point from both sides; what lies below is counted, and only
+    the values between the bounds are sorted.
     """
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by).orderBy(value)
-    placed = counted.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
-    columns = []
-    for p in points:
-        at = F.bround(F.lit(p / 100.0) * (F.col("n") - 1), 0)
-        columns.append(F.min(F.when(F.col("upto") > at, F.col(value))).alias(f"p{p:g}"))
-    return placed.groupBy(*by).agg(*columns)
+    x = F.col(value)
+    margin = 2.0 / accuracy
+    fractions = [min(1.0, max(0.0, p / 100 + side)) for p in points for side in (-margin, margin)]
+    known = rows.where(x.isNotNull()).select(*by, x)
+    groups = known.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx(value, fractions, accuracy).alias("q"))
+    large = F.col("n") > 10 * accuracy
+    ends = F.array(*[F.struct(F.lit(i).alias("point"), F.when(large, F.get("q", F.lit(2 * i))).alias("lo"), F.when(large, F.get("q", F.lit(2 * i + 1))).alias("hi")) for i in range(len(points))])
+    at = F.element_at(F.array(*[F.lit(p / 100.0) for p in points]), F.col("e.point") + 1)
+    groups = groups.select(*by, "n", F.explode(ends).alias("e")).select(*by, F.col("e.point").alias("point"), F.col("e.lo").alias("lo"), F.col("e.hi").alias("hi"), F.bround(at * (F.col("n") - 1), 0).alias("at"))
+    same = known.alias("r").join(groups.alias("g"), [F.col(f"r.{c}").eqNullSafe(F.col(f"g.{c}")) for c in by]).select(*[F.col(f"g.{c}").alias(c) for c in by], "point", "lo", "hi", "at", F.col(f"r.{value}").alias(value))
+    # what lies below the bounds becomes one row of each group in the map stage, what lies above is dropped
+    inside = same.where(F.col("hi").isNull() | (x <= F.col("hi"))).withColumn("x", F.when(F.col("lo").isNull() | (x >= F.col("lo")), x))
+    counted = inside.groupBy(*by, "point", "at", "x").agg(F.count("*").alias("c"))
+    w = Window.partitionBy(*by, "point").orderBy(F.asc_nulls_first("x"))
+    found = counted.withColumn("upto", F.sum("c").over(w)).where(F.col("x").isNotNull() & (F.col("upto") > F.col("at"))).groupBy(*by, "point").agg(F.min("x").alias("x"))
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("point") == i, F.col("x"))).alias(f"p{p:g}") for i, p in enumerate(points)])
 
 
 def billed() -> Column:

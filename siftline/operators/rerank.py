@@ -97,7 +97,9 @@ def group_documents(catalog: DataFrame, max_chars: int = 3000) -> DataFrame:
     Names are cut to what a description may hold; only as many as can fit are gathered.
     """
     w = Window.partitionBy("grp").orderBy("name")
-    upto = catalog.select("grp", "name").withColumn("chars", F.sum(F.length("name") + 2).over(w.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("chars") <= max_chars)
+    # no more than a third of max_chars names can fit, so a large group is cut before the shuffle
+    first = catalog.where("name is not null and name <> ''").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max_chars // 3 + 1)
+    upto = first.select("grp", "name").withColumn("chars", F.sum(F.length("name") + 2).over(w.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("chars") <= max_chars)
     held = upto.groupBy("grp").agg(F.array_sort(F.collect_list("name")).alias("names"))
     return held.select(F.col("grp").alias("id"), F.concat(F.col("grp"), F.lit(" tools: "), F.array_join("names", ", ")).alias("text"))
 

@@ -55,6 +55,17 @@ def test_percentile_rounds_half_to_even(spark):
         assert (r.p50, r.p95) == (float(round(0.5 * (n - 1))), float(round(0.95 * (n - 1))))
 
 
+def test_percentile_of_large_groups_is_exact(spark):
+    import random
+
+    rng = random.Random(1)
+    values = {"big": [rng.choice([rng.random(), 0.5, 3.0]) for _ in range(3000)], "small": [rng.random() for _ in range(90)], "one": [7.0] * 900, None: [1.0, 2.0]}
+    df = spark.createDataFrame([(g, x) for g, v in values.items() for x in v], "g string, x double").repartition(5)
+    for r in ev.percentile(df, "x", ["g"], (0, 50, 95, 100), accuracy=50).collect():
+        v = sorted(values[r.g])
+        assert (r.p0, r.p50, r.p95, r.p100) == tuple(v[round(p / 100 * (len(v) - 1))] for p in (0, 50, 95, 100))
+
+
 RECORD = "condition string, i bigint, kind string, expected array<string>, also_accept array<string>, tool string, correct bigint, retrieved bigint, n_tools bigint, input_tokens bigint, output_tokens bigint, cache_read bigint, cache_write bigint, latency_s double, cost_list double, cost_effective double, reported_cost double, stop_reason string, error string"
 
 
