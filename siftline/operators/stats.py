@@ -59,34 +59,26 @@ def mcnemar(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return counts.withColumn("p", mcnemar_p(F.col("a_only"), F.col("b_only")))
 
 
-# A linear congruential generator both engines can compute in 64-bit integers.
-LCG_A, LCG_C, LCG_M = 1_103_515_245, 12_345, 2_147_483_648
-
-
 def bootstrap(pairs: DataFrame, by: Sequence[str], reps: int = 1_000, seed: int = 7) -> DataFrame:
     """``(by..., diff, lo, hi)``: mean of a - b and its 95 % interval over ``reps`` paired resamples.
 
-    A resample depends only on how many pairs have each difference (-1, 0, 1), so the draws are made on these counts: the
-    pairs are aggregated to three numbers per group, whatever their number, and draw j of resample r takes the pair at
-    index LCG(seed, r, j) mod n in the order of differences.
+    A resample of n pairs depends only on how many of them have each difference (-1, 0, 1), and these three numbers are
+    multinomial. So the pairs are aggregated to their counts and each resample is one draw of three numbers, which is
+    exact at any n. Every group starts from ``seed``, so its interval does not depend on the other groups.
     """
     counts = pairs.groupBy(*by).agg(F.count("*").alias("n"), F.sum((F.col("a") < F.col("b")).cast("bigint")).alias("neg"), F.sum((F.col("a") > F.col("b")).cast("bigint")).alias("pos"))
-    draws = counts.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("x", F.expr(
-        f"aggregate(sequence(0L, n - 1), 0L, (s, j) -> s + case when pmod({lcg_sql('r', 'j', seed)}, n) < neg then -1L when pmod({lcg_sql('r', 'j', seed)}, n) >= n - pos then 1L else 0L end)"
-    ))
-    w = Window.partitionBy(*by).orderBy("x", "r")
-    placed = draws.withColumn("k", F.row_number().over(w) - 1)
-    lo, hi = int(0.025 * reps), int(0.975 * reps) - 1
-    return placed.groupBy(*by).agg(
-        F.first((F.col("pos") - F.col("neg")) / F.col("n")).alias("diff"),
-        F.max(F.when(F.col("k") == lo, F.col("x") / F.col("n"))).alias("lo"),
-        F.max(F.when(F.col("k") == hi, F.col("x") / F.col("n"))).alias("hi"),
-    )
-
 
-def lcg_sql(r: str, j: str, seed: int) -> str:
-    step = f"((({j}) * 7919 + ({r}) * 104729 + {seed}) % {LCG_M} * {LCG_A} + {LCG_C}) % {LCG_M}"
-    return f"cast(floor((({step}) * {LCG_A} + {LCG_C}) % {LCG_M} / 65536) as bigint)"
+    @F.pandas_udf("lo double, hi double")
+    def interval(n: pd.Series, neg: pd.Series, pos: pd.Series) -> pd.DataFrame:
+        rows = []
+        for total, below, above in zip(n.tolist(), neg.tolist(), pos.tolist()):
+            drawn = np.random.default_rng(seed).multinomial(total, [below / total, above / total, (total - below - above) / total], reps)
+            x = np.sort(drawn[:, 1] - drawn[:, 0])
+            rows.append((x[int(0.025 * reps)] / total, x[int(0.975 * reps) - 1] / total))
+        return pd.DataFrame(rows, columns=["lo", "hi"], dtype="float64")
+
+    placed = counts.withColumn("x", interval("n", F.coalesce("neg", F.lit(0)), F.coalesce("pos", F.lit(0))))
+    return placed.select(*by, ((F.col("pos") - F.col("neg")) / F.col("n")).alias("diff"), "x.lo", "x.hi")
 
 
 def holm(tests: DataFrame, p: str = "p", order: Sequence[str] = ()) -> DataFrame:

@@ -114,6 +114,19 @@ def test_bootstrap_is_repeatable_and_covers_the_difference(spark):
     assert x == y and x.lo <= x.diff <= x.hi and x.diff == pytest.approx(sum(a - b for _, a, b in rows) / 90)
 
 
+def test_bootstrap_reaches_every_pair_of_a_large_group(spark):
+    import numpy as np
+
+    n, pos, neg, reps = 60_000, 24_000, 6_000, 1_000
+    df = spark.range(n).select(F.lit("g").alias("g"), (F.col("id") < pos).cast("int").alias("a"), (F.col("id") >= n - neg).cast("int").alias("b"))
+    got = st.bootstrap(df, ["g"], reps).first()
+    d = np.repeat(np.array([1, 0, -1], np.int8), [pos, n - pos - neg, neg])
+    rng = np.random.default_rng(1)
+    means = np.sort([d[rng.integers(0, n, n)].mean() for _ in range(reps)])
+    assert got.diff == pytest.approx(0.3) and got.lo < got.diff < got.hi
+    assert (got.lo, got.hi) == pytest.approx((means[25], means[974]), abs=0.0015)
+
+
 def test_comparison_matrix_skips_missing_runs(spark):
     r = spark.createDataFrame([("a", i, 1) for i in range(4)] + [("b", i, i % 2) for i in range(4)], "condition string, i bigint, correct bigint")
     c = spark.createDataFrame([("q", "a", "b"), ("q", "a", "none")], "question string, a string, b string")
