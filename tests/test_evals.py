@@ -127,6 +127,24 @@ def test_bootstrap_reaches_every_pair_of_a_large_group(spark):
     assert (got.lo, got.hi) == pytest.approx((means[25], means[974]), abs=0.0015)
 
 
+def test_registered_bootstrap_gives_every_pair_of_conditions(spark, tmp_path):
+    import numpy as np
+
+    from siftline.plans.eval_queries import sta2
+
+    correct = {"all": lambda i: i % 2, "top-20": lambda i: int(i % 3 > 0), "top-5": lambda i: int(i % 5 > 0)}
+    rows = [(10 * i + k, name, i, f(i)) for k, (name, f) in enumerate(correct.items()) for i in range(120)]
+    spark.createDataFrame(rows, "rec_id bigint, condition string, i bigint, correct bigint").write.parquet(str(tmp_path / "run_records.parquet"))
+    got = {(r.a, r.b): r for r in sta2(spark, str(tmp_path)).collect()}
+    assert set(got) == {("all", "top-20"), ("all", "top-5"), ("top-20", "top-5")}
+    rng = np.random.default_rng(1)
+    for (a, b), r in got.items():
+        d = np.array([correct[a](i) - correct[b](i) for i in range(120)])
+        means = np.sort(d[rng.integers(0, 120, (10_000, 120))].mean(axis=1))
+        assert r.diff == pytest.approx(d.mean(), abs=1e-6)
+        assert (r.lo, r.hi) == pytest.approx((means[250], means[9749]), abs=0.01)
+
+
 def test_comparison_matrix_skips_missing_runs(spark):
     r = spark.createDataFrame([("a", i, 1) for i in range(4)] + [("b", i, i % 2) for i in range(4)], "condition string, i bigint, correct bigint")
     c = spark.createDataFrame([("q", "a", "b"), ("q", "a", "none")], "question string, a string, b string")
