@@ -5,13 +5,13 @@ check letters and digits), plus or minus what nearby words say (a label before i
 versions). Spans at or above ``THRESHOLD`` stay; where two overlap, the earlier kind in ``KINDS`` wins, then the longer.
 
 Names come from a list of known parts, which may be incomplete. ``learn_parts`` adds parts that stand beside known
-ones, fitted on a bounded sample of documents (``SAMPLE_DOCS``); everything else covers all rows.
+ones, counted over all documents.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,7 +27,7 @@ except ImportError:  # the finder falls back to one alternation
 
 KINDS = ("email", "id_number", "phone", "address", "name")
 THRESHOLD = 0.5
-SAMPLE_DOCS = 20_000
+COUNTED_WORDS = 200_000
 MAX_PARTS = 50_000
 
 # Labels of identity numbers (English, German, French, Spanish).
@@ -473,22 +473,30 @@ def known_parts(parts: DataFrame) -> tuple[set[str], set[str]]:
     return {r.name for r in rows if r.kind == "given"}, {r.name for r in rows if r.kind == "surname"}
 
 
-def learn_parts(docs: DataFrame, id_col: str, text_col: str, given: set[str], surnames: set[str], sample_docs: int = SAMPLE_DOCS) -> tuple[set[str], set[str]]:
-    """Known parts and those that a bounded sample of documents shows beside different known ones.
+def learn_parts(docs: DataFrame, id_col: str, text_col: str, given: set[str], surnames: set[str]) -> tuple[set[str], set[str]]:
+    """Known parts and those that the documents show beside different known ones.
 
     A part counts if it stands beside at least three of them in a quarter of its occurrences, or as the given name
-    after the comma of at least two.
-    The sample is spread by hash over all documents and holds about ``sample_docs`` at any size of the input.
+    after the comma of at least two. All documents are counted and the counts are compared in Spark; only accepted parts
+    are collected, and more than MAX_PARTS of them are an error.
     """
-    n = docs.count()
-    every = max(1, -(-n // sample_docs))
-    sample = spread(docs.where(F.pmod(F.xxhash64(id_col), F.lit(every)) == 0).select(F.col(text_col).alias("text")))
+    source = spread(docs.select(F.col(text_col).alias("text")))
     finder_words = frozenset(given | surnames)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: Counter = Counter()
         total: Counter = Counter()
         title = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+
+        def counts() -> pa.RecordBatch:
+            rows = [(r, x, p, c) for (r, x, p), c in pairs.items()] + [("total", x, "", c) for x, c in total.items()]
+            pairs.clear()
+            total.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in rows], pa.string()) for i in range(3)] + [pa.array([r[3] for r in rows], pa.int64())],
+                ["role", "part", "partner", "n"],
+            )
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if not text:
@@ -510,32 +518,20 @@ def learn_parts(docs: DataFrame, id_col: str, text_col: str, given: set[str], su
                             pairs[("given", lows[k - 1], low)] += 1
                         if k + 1 < len(words) and text[words[k][2] : words[k + 1][1]] == ", " and lows[k + 1] not in finder_words and words[k + 1][0].istitle() and not (k and lows[k - 1] in given):
                             pairs[("inverted", lows[k + 1], low)] += 1
-        rows = [(r, x, p, c) for (r, x, p), c in pairs.items()]
-        seen = {x for _, x, _ in pairs}
-        rows += [("total", x, "", total[x]) for x in seen]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[i] for r in rows], pa.string()) for i in range(3)] + [pa.array([r[3] for r in rows], pa.int64())],
-            ["role", "part", "partner", "n"],
-        )
-
-    counted = sample.mapInArrow(run, "role string, part string, partner string, n long").groupBy("role", "part", "partner").agg(F.sum("n").alias("n"))
-    partners: dict = defaultdict(lambda: [0, 0])
-    total: Counter = Counter()
-    for r in counted.collect():  # bounded by the sample
-        if r.role == "total":
-            total[r.part] += r.n
-        else:
-            partners[(r.role, r.part)][0] += 1
-            partners[(r.role, r.part)][1] += r.n
-    more = {"given": set(given), "surname": set(surnames)}
-    for (role, part), (kinds, n_pairs) in partners.items():
-        if len(part) < 3 or part in ORDINARY or part in PARTICLES:
-            continue
-        if role == "inverted" and kinds >= 2:
-            more["given"].add(part)
-        elif role != "inverted" and kinds >= 3 and n_pairs >= 0.25 * total[part]:
-            more[role].add(part)
-    return more["given"], more["surname"]
+            if len(pairs) + len(total) > COUNTED_WORDS:
+                yield counts()
+        yield counts()
+
+    counted = source.mapInArrow(run, "role string, part string, partner string, n long").groupBy("role", "part", "partner").agg(F.sum("n").alias("n"))
+    is_role = lambda r: F.col("role") == r
+    kinds = lambda r: F.sum(is_role(r).cast("int"))
+    n_pairs = lambda r: F.sum(F.when(is_role(r), F.col("n")).otherwise(0))
+    often = lambda r: (kinds(r) >= 3) & (n_pairs(r) >= 0.25 * n_pairs("total"))
+    parts = counted.groupBy("part").agg((often("given") | (kinds("inverted") >= 2)).alias("given"), often("surname").alias("surname"))
+    rows = parts.where("(given or surname) and length(part) >= 3").where(~F.col("part").isin(sorted(ORDINARY | PARTICLES))).limit(MAX_PARTS + 1).collect()
+    if len(rows) > MAX_PARTS:
+        raise ValueError(f"more than {MAX_PARTS} learned name parts")
+    return given | {r.part for r in rows if r.given}, surnames | {r.part for r in rows if r.surname}
 
 
 def find(docs: DataFrame, id_col: str, text_col: str, given: set[str], surnames: set[str], with_text: bool = False) -> DataFrame:

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from siftline.llm import pii
 
@@ -150,6 +151,22 @@ def test_parts_are_learned_from_known_ones(spark):
     assert pii.known_parts(spark.createDataFrame([(" Ada ", "given"), (None, "given"), ("ada", "given"), ("X", "surname")], "name string, kind string")) == ({"ada"}, {"x"})
 
 
+def test_parts_are_learned_from_rare_documents_of_a_large_table(spark):
+    n, told = 60_000, [("Morag", 0), ("Henrik", 1), ("Akira", 2)]
+    skipped = [r.id for r in spark.range(n).where("pmod(xxhash64(id), 3) <> 0").orderBy("id").limit(3).collect()]  # what a sample of one in three would leave out
+    text = F.lit("nothing to see")
+    for name, k in told:
+        text = F.when(F.col("id") == skipped[k], F.lit(f"ask {name} Velmark")).otherwise(text)
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"))
+    assert pii.learn_parts(docs, "doc_id", "text", set(FINDER.given), set(FINDER.surnames))[1] - FINDER.surnames == {"velmark"}
+
+
+def test_occurrences_in_documents_without_a_pair_count(spark):
+    rows = [(i, f"ask {g} Velmark") for i, g in enumerate(("Morag", "Henrik", "Akira"))] + [(10 + i, "the Velmark again") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").orderBy("doc_id").repartitionByRange(4, "doc_id")
+    assert pii.learn_parts(docs, "doc_id", "text", set(FINDER.given), set(FINDER.surnames))[1] == FINDER.surnames
+
+
 def test_unusual_case_mappings_keep_positions():
     text = "İİİ ask Morag Bexcroft"
     assert found(text, "name") == ["Morag Bexcroft"]
