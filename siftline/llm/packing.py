@@ -2,8 +2,8 @@
 
 Documents are spread by hash over shards of about ``SHARD_DOCS``. A shard holds an inverted BM25 index of its documents
 (terms are token ids; frequencies, lengths and their averages are those of the whole corpus). The largest unused document
-seeds a container; the index returns its unused neighbours, best first, and each that fits goes in; what room is left is
-closed by the largest unused document that fits. Only documents longer than the capacity are split: into full containers
+seeds a container; the index ranks all documents of the shard that share a term with it, and down this ranking each
+unused one that fits goes in; what room is left is closed by the largest unused document that fits. Only documents longer than the capacity are split: into full containers
 and a rest that is packed like a document. In the end the containers of a shard that are still open are merged across
 ``MERGE_SHARDS`` shards, best fit first.
 """
@@ -23,9 +23,7 @@ from siftline.session import materialise, spread
 
 SHARD_DOCS = 4096
 MERGE_SHARDS = 64
-SIGNATURE_TERMS = 32
-QUERY_TERMS = 12
-NEIGHBOURS = 48
+DENSE_SHARE = 8
 K1, B = 1.5, 0.75
 
 
@@ -60,7 +58,7 @@ def corpus_statistics(docs: DataFrame, id_col: str, text_col: str, ranks) -> tup
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, ranks, stats) -> DataFrame:
-    """``(id, n_tokens, terms, weights)``: a document's length and the terms that weigh most in BM25, heaviest first."""
+    """``(id, n_tokens, terms, weights)``: a document's length and its terms with their BM25 weights."""
     shared = docs.sparkSession.sparkContext.broadcast(stats)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,13 +73,9 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, ranks, stats) -> Dat
                     ids = np.frombuffer(bpe.encode_packed(text), np.int32)
                     term, tf = np.unique(ids, return_counts=True)
                     w = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean)) if len(ids) else np.zeros(0, np.float32)
-                    if len(w) > SIGNATURE_TERMS:
-                        top = np.argpartition(-w, SIGNATURE_TERMS)[:SIGNATURE_TERMS]
-                        term, w = term[top], w[top]
-                    order = np.argsort(-w, kind="stable")
                     sizes.append(len(ids))
-                    terms.append(term[order])
-                    weights.append(w[order])
+                    terms.append(term)
+                    weights.append(w)
                     ends.append(ends[-1] + len(term))
                 offsets = pa.array(np.array(ends, np.int32))
                 yield pa.RecordBatch.from_arrays(
@@ -98,38 +92,41 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, ranks, stats) -> Dat
 
 
 class Index:
-    """Inverted BM25 index of one shard."""
+    """Inverted BM25 index of one shard. Terms that one document in ``DENSE_SHARE`` has are rows of a matrix."""
 
     def __init__(self, offsets: np.ndarray, terms: np.ndarray, weights: np.ndarray):
         self.n = len(offsets) - 1
         owner = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(offsets))
         order = np.argsort(terms, kind="stable")
         self.docs, self.weights = owner[order], weights[order]
-        unique, first = np.unique(terms[order], return_index=True)
-        bounds = np.append(first, len(order))
-        self.post = {int(t): (int(bounds[i]), int(bounds[i + 1])) for i, t in enumerate(unique)}
-        self.offsets, self.terms = offsets, terms
-        self._known: dict[int, list[int]] = {}
+        unique, first, at = np.unique(terms[order], return_index=True, return_inverse=True)
+        self.bounds = np.append(first, len(order))
+        self.offsets, self.terms = offsets, np.empty(len(terms), np.int64)
+        self.terms[order] = at
+        common = np.flatnonzero(np.diff(self.bounds) * DENSE_SHARE >= self.n)
+        self.row = np.full(len(unique), -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.n), np.float32)
+        for k, t in enumerate(common):
+            i, j = self.bounds[t], self.bounds[t + 1]
+            self.dense[k, self.docs[i:j]] = self.weights[i:j]
+        self._known: dict[int, np.ndarray] = {}
 
     def neighbours(self, doc: int) -> list[int]:
-        """The documents that share weighty terms with ``doc``, best first."""
+        """All documents that share a term with ``doc``, best first."""
         got = self._known.get(doc)
         if got is None:
-            a = self.offsets[doc]
-            query = self.terms[a : min(self.offsets[doc + 1], a + QUERY_TERMS)]
-            spans = [self.post[int(t)] for t in query]
+            query = self.terms[self.offsets[doc] : self.offsets[doc + 1]]
+            rows = self.row[query]
+            score = self.dense[rows[rows >= 0]].sum(axis=0, dtype=np.float64)
+            spans = [(self.bounds[t], self.bounds[t + 1]) for t in query[rows < 0].tolist()]
             if spans:
                 docs = np.concatenate([self.docs[i:j] for i, j in spans])
-                score = np.bincount(docs, np.concatenate([self.weights[i:j] for i, j in spans]), self.n)
-                score[doc] = 0
-                k = min(NEIGHBOURS, self.n - 1)
-                top = np.argpartition(-score, k)[:k] if k < self.n - 1 else np.arange(self.n)
-                top = top[score[top] > 0]
-                got = top[np.lexsort((top, -score[top]))].tolist()
-            else:
-                got = []
-            self._known[doc] = got
-        return got
+                score += np.bincount(docs, np.concatenate([self.weights[i:j] for i, j in spans]), self.n)
+            score[doc] = 0
+            order = np.argsort(-score.round(9), kind="stable")
+            got = self._known[doc] = order[: np.count_nonzero(score > 0)].astype(np.int32)
+        return got.tolist()
 
 
 def fill(sizes: Sequence[int], capacity: int, neighbours) -> list[list[int]]:
@@ -168,7 +165,7 @@ def fill(sizes: Sequence[int], capacity: int, neighbours) -> list[list[int]]:
                     take(j)
                     box.append(j)
                     room -= sizes[j]
-                    if not room:
+                    if find(bisect_right(ascending, room) - 1) < 0:  # nothing that is left fits
                         break
         while room:
             r = find(bisect_right(ascending, room) - 1)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftline.llm import duplicates, neighbours, spans
+from siftline.llm import duplicates, neighbours, packing, spans
 
 RECORDS = "tab string, rec_id bigint, field_name string, text string"
 
@@ -134,3 +134,20 @@ def test_top_k_breaks_ties_by_id(k):
     ids = np.array([9, 8, 1, 2])
     _, c = neighbours.top_k(sims, ids, k)
     assert c.tolist() == [3, 1, 0, 2][:k]
+
+
+def test_index_ranks_every_document_that_shares_a_term():
+    rng = np.random.default_rng(3)
+    docs = [np.sort(rng.choice(400, rng.integers(1, 90), replace=False)) for _ in range(200)] + [np.array([0, 1]) for _ in range(100)]
+    weights = [(rng.integers(1, 60, len(d)) / 8).astype(np.float32) for d in docs]
+    index = packing.Index(np.cumsum([0, *map(len, docs)]), np.concatenate(docs), np.concatenate(weights))
+    for i in (0, 5, 150, 199, 250):
+        score = {j: sum(w for t, w in zip(docs[j].tolist(), weights[j].tolist()) if t in set(docs[i].tolist())) for j in range(300) if j != i}
+        assert index.neighbours(i) == sorted((j for j in score if score[j] > 0), key=lambda j: (-score[j], j))
+
+
+def test_late_seeds_of_a_large_group_still_get_their_own_kind():
+    kind = [k % 2 for k in range(400)]
+    index = packing.Index(np.arange(401), np.array(kind), np.ones(400, np.float32))
+    boxes = packing.fill([10] * 400, 100, index.neighbours)
+    assert len(boxes) == 40 and all(len({kind[i] for i in box}) == 1 for box in boxes)
