@@ -1,7 +1,6 @@
 import random
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from siftline.llm import duplicates, neighbours, packing, spans
@@ -95,9 +94,9 @@ def vectors(n=700):
 
 
 def test_neighbours_recall_and_exact_groups(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "LEAF_ROWS", 32)
-    monkeypatch.setattr(neighbours, "BUCKET_ROWS", 128)
-    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 50)
+    # several leaves, bins, blocks of a bin, cells, query blocks and blocks of copies
+    for name, n in {"LEAF_ROWS": 8, "BUCKET_ROWS": 16, "CELL_ROWS": 100, "QUERY_ROWS": 60, "COPY_ROWS": 7, "SAMPLE_ROWS": 400, "LEAST_SAMPLE": 20, "CHUNK_ROWS": 50, "FIRST_LEAVES": 2}.items():
+        monkeypatch.setattr(neighbours, name, n)
     rows = vectors()
     df = spark.createDataFrame([(*r, "clash") for r in rows], "vec_id bigint, model string, v array<float>, key string")
     got = {(r.id, r.neighbour) for r in neighbours.neighbours(df, "vec_id", "model", "v").collect()}
@@ -115,25 +114,50 @@ def test_neighbours_of_nothing(spark):
     assert neighbours.neighbours(df, "vec_id", "model", "v").count() == 0
     one = spark.createDataFrame([(1, "m-2", [1.0, 0.0])], "vec_id bigint, model string, v array<float>")
     assert neighbours.neighbours(one, "vec_id", "model", "v").count() == 0
-
-
-def test_search_pops_leaves_by_distance():
-    x = np.random.default_rng(0).normal(size=(400, 4))
-    tree = neighbours.fit_tree(x, 20, 4)
-    leaves = tree.search(x[:5], 1e9)
-    assert all(len(set(found)) == sum(n == 0 for n in tree.n_children) for found in leaves)
-    assert all(a[0] == b[0] for a, b in zip(tree.search(x[:5], 0.0), leaves))
-    for v, reached in zip(x[:5], tree.margins(x[:5])):
-        margin = sorted(reached.values())[6] * (1 + 1e-6)
-        assert set(tree.search(v[None], margin)[0]) == {leaf for leaf, m in reached.items() if m <= margin}
-
-
-@pytest.mark.parametrize("k", [1, 3, 50])
-def test_top_k_breaks_ties_by_id(k):
-    sims = np.array([[0.5, 0.5000001, 0.4, 0.5]])
-    ids = np.array([9, 8, 1, 2])
-    _, c = neighbours.top_k(sims, ids, k)
-    assert c.tolist() == [3, 1, 0, 2][:k]
+    bad = [float("nan"), float("inf"), None]
+    odd = spark.createDataFrame([(i, "m-2", [1.0, x]) for i, x in enumerate(bad)] + [(7, "m-2", [0.0, -0.0]), (8, "m-2", [0.0, -1.0]), (None, "m-2", [1.0, 1.0]), (9, "m", [1.0, 1.0])], "vec_id bigint, model string, v array<float>")
+    assert sorted(r.id for r in neighbours.usable(odd, "vec_id", "model", "v").collect()) == [8, 9]
+
+
+def test_a_dense_group_larger_than_a_bin_is_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BUCKET_ROWS", 16)
+    monkeypatch.setattr(neighbours, "SAMPLE_ROWS", 60)
+    monkeypatch.setattr(neighbours, "LEAST_SAMPLE", 30)
+    rng = np.random.default_rng(4)
+    rows = [(i, "m-4", [1.0, 1.0, 1.0, float(np.float32(1 + rng.integers(0, 400) * 2e-7))]) for i in range(300)]
+    rows += [(1000 + i, "m-4", rng.normal(size=4).astype(np.float32).tolist()) for i in range(300)]
+    got = {(r.id, r.neighbour) for r in neighbours.neighbours(spark.createDataFrame(rows, "vec_id bigint, model string, v array<float>"), "vec_id", "model", "v").collect()}
+    want = brute_neighbours(rows, 10)
+    assert len(got & want) >= 0.97 * len(want) and len(got) <= 1.01 * len(want)
+
+
+def test_search_pops_bins_by_bound_until_the_threshold():
+    x = np.random.default_rng(0).normal(size=(400, 4)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    tree = neighbours.fit_tree(x, 20)
+    n = len(tree.bins())
+    assert all(sorted(found) == list(range(n)) for found in tree.search(x[:5], np.full(5, -9.0), 1.0))
+    nearest = tree.nearest(x[:5]).tolist()
+    assert all(b in found for b, found in zip(nearest, tree.search(x[:5], np.full(5, 0.9), 1.0)))
+    centres, radius = tree.centres[tree.bins()], tree.radius[tree.bins()]
+    for least in (0.2, 0.6, 0.9):
+        for v, found in zip(x[:50], tree.search(x[:50], np.full(50, least), 1.5)):
+            bound = centres @ v + 1.5 * radius
+            assert all(bound[b] >= least - 1e-5 for b in found)
+
+
+def test_leaves_cover_all_rows_and_equal_ones_stay_whole():
+    x = np.random.default_rng(1).normal(size=(900, 6)).astype(np.float32)
+    leaf = neighbours.leaves_of(x)
+    assert len(leaf) == 900 and np.bincount(leaf).max() <= 4 * neighbours.LEAF_ROWS and len(set(leaf.tolist())) >= 900 // neighbours.LEAF_ROWS
+    assert set(neighbours.leaves_of(np.ones((300, 3), np.float32)).tolist()) == {0}
+
+
+def test_best_breaks_ties_by_id():
+    rows, micro, ids = np.array([0, 0, 0, 0, 2]), np.array([5, 5, 4, 5, 1]), np.array([9, 8, 1, 2, 7])
+    for n in (1, 3, 50):
+        keep, ends = neighbours._best(rows, micro, ids, n, 3)
+        assert ids[keep].tolist() == [2, 8, 9, 1][:n] + [7] and ends.tolist() == [0, min(n, 4), min(n, 4), min(n, 4) + 1]
 
 
 def test_index_ranks_every_document_that_shares_a_term():
