@@ -1,8 +1,8 @@
 """Token totals by slice, counted once per distinct word.
 
-Each partition counts its words by slice; the counts meet once per word, where the word's symbols are merged by the
-priority queue of the tokenizer and the surviving symbols are counted; these are weighted by the word's frequency and
-summed. The totals equal those of encoding every text.
+Each partition counts its words by slice; the counts meet once per slice and word, where the word's symbols are merged in a
+linked list by the priority queue of the tokenizer and the surviving symbols are counted; these are weighted by the word's
+frequency and summed. The totals equal those of encoding every text.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from siftline.session import spread
 FLUSH_ENTRIES = 200_000
 
 
-
 def token_totals(df: DataFrame, slice_cols: Sequence[str], text_cols: Sequence[str], tokenizer: str | None = None) -> DataFrame:
     """``(slice_cols..., field, n_texts, n_chars, n_tokens)``; n_texts counts texts that are neither null nor empty.
 
@@ -29,17 +28,19 @@ def token_totals(df: DataFrame, slice_cols: Sequence[str], text_cols: Sequence[s
     ranks = df.sparkSession.sparkContext.broadcast(read_ranks(tokenizer))
     n_slices, fields = len(slice_cols), list(text_cols)
     source = spread(df.select(*[F.col(c).cast("string").alias(f"s{i}") for i, c in enumerate(slice_cols)], *[F.col(c).alias(f"t{i}") for i, c in enumerate(fields)]))
+    keys = [f"s{i}" for i in range(n_slices)] + ["field"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = bpe_of(ranks.value)
         counts: dict[tuple, Counter] = {}
+        sums: dict[tuple, list[int]] = {}
         entries = 0
 
         def rows() -> pa.RecordBatch:
-            keys = [(k, w, n) for k, c in counts.items() for w, n in c.items()]
-            columns = [pa.array([k[0][i] for k in keys], pa.string()) for i in range(n_slices)]
-            columns += [pa.array([fields[k[0][-1]] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, [f"s{i}" for i in range(n_slices)] + ["field", "word", "n"])
+            """Words with their counts; the totals of texts and characters stand in rows whose word is null."""
+            out = [(k, w, n, 0, 0) for k, c in counts.items() for w, n in c.items()] + [(k, None, 0, *v) for k, v in sums.items()]
+            columns = [pa.array([k[0][i] for k in out], pa.string()) for i in range(n_slices)] + [pa.array([fields[k[0][-1]] for k in out], pa.string()), pa.array([k[1] for k in out], pa.string())]
+            return pa.RecordBatch.from_arrays(columns + [pa.array([k[i] for k in out], pa.int64()) for i in (2, 3, 4)], [*keys, "word", "n", "n_texts", "n_chars"])
 
         for batch in batches:
             slices = list(zip(*[batch.column(i).to_pylist() for i in range(n_slices)])) if n_slices else [()] * batch.num_rows
@@ -47,48 +48,66 @@ def token_totals(df: DataFrame, slice_cols: Sequence[str], text_cols: Sequence[s
                 for s, text in zip(slices, batch.column(n_slices + f).to_pylist()):
                     if not text:
                         continue
-                    c = counts.setdefault((*s, f), Counter())
+                    c, total = counts.setdefault((*s, f), Counter()), sums.setdefault((*s, f), [0, 0])
                     before = len(c)
                     words = bpe.words(text)
                     if len(max(words, key=len)) > LONG_WORD:
                         words = [p for w in words for p in ([w] if len(w) <= LONG_WORD else bpe._find(w))]
                     c.update(words)
-                    c[""] += 1
-                    c["\0"] += len(text)
+                    total[0] += 1
+                    total[1] += len(text)
                     entries += len(c) - before
             if entries > FLUSH_ENTRIES:
                 yield rows()
                 counts.clear()
+                sums.clear()
                 entries = 0
         yield rows()
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = bpe_of(ranks.value)
-        sizes: dict[str, int] = {"": 0, "\0": 0}
+        sizes: dict[str | None, int] = {None: 0}
         for batch in batches:
-            tokens, texts, chars = [], [], []
-            for word, n in zip(batch.column(n_slices + 1).to_pylist(), batch.column(n_slices + 2).to_pylist()):
+            tokens = []
+            for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
                 size = sizes.get(word)
                 if size is None:
                     if len(sizes) > FLUSH_ENTRIES:
-                        sizes = {"": 0, "\0": 0}
+                        sizes = {None: 0}
                     size = sizes[word] = len(bpe.split_and_encode(word)) // 4
                 tokens.append(size * n)
-                texts.append(n if word == "" else 0)
-                chars.append(n if word == "\0" else 0)
-            columns = [batch.column(i) for i in range(n_slices + 1)] + [pa.array(x, pa.int64()) for x in (texts, chars, tokens)]
-            yield pa.RecordBatch.from_arrays(columns, [f"s{i}" for i in range(n_slices)] + ["field", "n_texts", "n_chars", "n_tokens"])
+            columns = [*[batch.column(c) for c in [*keys, "n_texts", "n_chars"]], pa.array(tokens, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [*keys, "n_texts", "n_chars", "n_tokens"])
 
-    keys = [f"s{i}" for i in range(n_slices)] + ["field"]
-    head = "".join(f"s{i} string, " for i in range(n_slices)) + "field string, "
-    partial = source.mapInArrow(count, head + "word string, n long")
-    # partitioned by word, which also serves the grouping: every word is merged in one place
-    counted = partial.repartition("word").groupBy(*keys, "word").agg(F.sum("n").alias("n"))
+    head = "".join(f"{c} string, " for c in keys)
+    partial = source.mapInArrow(count, head + "word string, n long, n_texts long, n_chars long")
+    # added up before the shuffle; a word's counts go to as many tasks as it has slices, so no word is a hot key
+    counted = partial.groupBy(*keys, "word").agg(*[F.sum(c).alias(c) for c in ("n", "n_texts", "n_chars")])
     weighed = counted.mapInArrow(weigh, head + "n_texts long, n_chars long, n_tokens long")
     out = weighed.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n_texts", "n_chars", "n_tokens")])
     return out.select(*[F.col(f"s{i}").alias(c) for i, c in enumerate(slice_cols)], "field", "n_texts", "n_chars", "n_tokens")
 
 
+def text_tokens(df: DataFrame, id_col: str, text_cols: Sequence[str], tokenizer: str | None = None) -> DataFrame:
+    """``(id_col, field, n_chars, n_tokens)``: one row per input row and text column, without a shuffle.
+
+    Null and empty texts have no tokens; ``n_chars`` of a null text is null. Repeated rows keep their own rows.
+    """
+    ranks = df.sparkSession.sparkContext.broadcast(read_ranks(tokenizer))
+    fields = list(text_cols)
+    source = spread(df.select(df[id_col].alias("id"), *[df[c].alias(f"t{i}") for i, c in enumerate(fields)]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = bpe_of(ranks.value)
+        for batch in batches:
+            for i, field in enumerate(fields):
+                texts = batch.column(i + 1).to_pylist()
+                chars, tokens = pa.array([None if t is None else len(t) for t in texts], pa.int64()), pa.array([bpe.count(t) for t in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([field] * len(texts), pa.string()), chars, tokens], ["id", "field", "n_chars", "n_tokens"])
+
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, field string, n_chars long, n_tokens long").withColumnRenamed("id", id_col)
+
+
 def catalog_budget(catalog: DataFrame, servers: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Totals of ``description`` and ``parameters`` by server, language and domain, with all roll-ups.
 

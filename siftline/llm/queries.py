@@ -56,6 +56,11 @@ def p4_token_budget(spark: SparkSession, d: str) -> DataFrame:
     return budget.catalog_budget(table(spark, d, "tool_catalog"), table(spark, d, "mcp_server_config"))
 
 
+def p4_tool_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """How many tokens each text of each tool has."""
+    return budget.text_tokens(table(spark, d, "tool_catalog"), "tool_id", ["description", "parameters"])
+
+
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     specs = [(r.spec_id, r.capacity_tokens) for r in table(spark, d, "pack_specs").select("spec_id", "capacity_tokens").orderBy("spec_id").take(64)]
     return packing.pack(table(spark, d, "documents"), "doc_id", "text", specs)
@@ -80,7 +85,7 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_shares": p2_shares, "p3_found": p3_found, "p3_groups": p3_groups, "p4_token_budget": p4_token_budget, "p7_containers": p7_containers, "p6_ids": p6_ids, "p8_found": p8_found, "p8_redacted": p8_redacted}
+    return {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_shares": p2_shares, "p3_found": p3_found, "p3_groups": p3_groups, "p4_token_budget": p4_token_budget, "p4_tool_tokens": p4_tool_tokens, "p7_containers": p7_containers, "p6_ids": p6_ids, "p8_found": p8_found, "p8_redacted": p8_redacted}
 
 
 def oracle_sql() -> dict[str, str]:

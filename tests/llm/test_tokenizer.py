@@ -64,6 +64,18 @@ def test_token_totals_equal_encoding_every_text(spark, bpe):
     assert budget.token_totals(df.limit(0), ["s"], ["t"]).count() == 0
 
 
+def test_budget_of_odd_texts_and_of_each_text(spark, bpe):
+    """A text of a zero byte is a text like others; every text's own count is that of its ids."""
+    texts = ["\0", "x", "\0\0 a", None, "", "x", "word " * 3000, "q" * 500]
+    df = spark.createDataFrame([(i, t, "t0") for i, t in enumerate(texts)], "id int, t string, t0 string")
+    row = budget.token_totals(df, [], ["t"]).collect()[0]
+    some = [t for t in texts if t]
+    assert (row.n_texts, row.n_chars, row.n_tokens) == (len(some), sum(map(len, some)), sum(map(bpe.count, some)))
+    got = {r.id: (r.n_chars, r.n_tokens) for r in budget.text_tokens(df, "id", ["t"]).collect()}
+    assert got == {i: (None if t is None else len(t), len(bpe.encode(t))) for i, t in enumerate(texts)}
+    assert budget.text_tokens(df.limit(0), "id", ["t", "t0"]).count() == 0
+
+
 def test_budget_rolls_up_exactly(spark, bpe):
     tools = spark.createDataFrame(
         [("m__a", "one two", "{}", {"server": "Mail "}, "EN"), ("m__b", "three", None, {"server": "mail"}, "en-x"), ("odd__c", None, "[1]", None, None), ("q", "four", "", {}, "de")],
