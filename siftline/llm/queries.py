@@ -62,8 +62,7 @@ def p4_tool_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
-    specs = [(r.spec_id, r.capacity_tokens) for r in table(spark, d, "pack_specs").select("spec_id", "capacity_tokens").orderBy("spec_id").take(64)]
-    return packing.pack(table(spark, d, "documents"), "doc_id", "text", specs)
+    return packing.pack(table(spark, d, "documents"), "doc_id", "text", packing.read_specs(table(spark, d, "pack_specs")))
 
 
 def _pii_parts(spark: SparkSession, d: str) -> tuple[set[str], set[str]]:

@@ -167,7 +167,7 @@ def test_index_ranks_every_document_that_shares_a_term():
     index = packing.Index(np.cumsum([0, *map(len, docs)]), np.concatenate(docs), np.concatenate(weights))
     for i in (0, 5, 150, 199, 250):
         score = {j: sum(w for t, w in zip(docs[j].tolist(), weights[j].tolist()) if t in set(docs[i].tolist())) for j in range(300) if j != i}
-        assert index.neighbours(i) == sorted((j for j in score if score[j] > 0), key=lambda j: (-score[j], j))
+        assert list(index.neighbours(i)) == sorted((j for j in score if score[j] > 0), key=lambda j: (-score[j], j))
 
 
 def test_late_seeds_of_a_large_group_still_get_their_own_kind():
@@ -175,3 +175,59 @@ def test_late_seeds_of_a_large_group_still_get_their_own_kind():
     index = packing.Index(np.arange(401), np.array(kind), np.ones(400, np.float32))
     boxes = packing.fill([10] * 400, 100, index.neighbours)
     assert len(boxes) == 40 and all(len({kind[i] for i in box}) == 1 for box in boxes)
+
+
+def test_documents_of_one_subject_come_into_one_shard(spark, monkeypatch):
+    """Eight subjects with words of their own: a document's nearest in the whole corpus lie in its shard, not one in many."""
+    from siftline.llm.tokenizer import read_ranks
+
+    monkeypatch.setattr(packing, "SHARD_DOCS", 64)
+    rng = random.Random(3)
+    words = [[f"{a}{b}ing" for b in "qwrtzpsdfg"] for a in ("mail", "rain", "bank", "song", "ship", "leaf", "code", "wolf")]
+    docs = [(i, " ".join(rng.choices(words[i % 8], k=25) + rng.choices(["the", "of", "and"], k=25))) for i in range(480)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    ranks = spark.sparkContext.broadcast(read_ranks())
+    table = packing.encoded(df, "doc_id", "text", ranks)
+    stats = packing.corpus_statistics(table)
+    whole = table.toArrow().sort_by("id").combine_chunks()
+    key, slot = packing.keys_of(whole, stats)
+    pairs, n = np.unique(key * packing.SLOTS + slot, return_counts=True)
+    codes, first, parts = packing.lay_out(pairs // packing.SLOTS, pairs % packing.SLOTS, n)
+    shard = first[np.searchsorted(codes, key * packing.SLOTS + slot)]
+    ends = packing._ends(whole)
+    index = packing.Index(ends, packing._flat(whole, "terms"), packing.weights_of(packing._flat(whole, "terms"), packing._flat(whole, "counts"), ends, whole.column("n_tokens").to_numpy(), stats))
+    near = [(i, j) for i in range(0, 480, 7) for j, _ in zip(index.neighbours(i), range(5))]
+    assert sum(i % 8 == j % 8 for i, j in near) == len(near)
+    assert sum(shard[i] == shard[j] for i, j in near) >= 0.3 * len(near) and len(set(shard.tolist())) >= 8
+    assert all(len({int(s) for i, s in enumerate(shard) if i % 8 == kind}) <= 6 for kind in range(8))
+
+
+def test_shards_hold_no_more_than_their_share(monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_DOCS", 100)
+    rng = np.random.default_rng(0)
+    keys, slots = np.repeat(np.arange(-1, 30), 8), np.tile(np.arange(8), 31)
+    counts = rng.integers(1, 40, len(keys))
+    counts[80:88] = [90, 5, 700, 60, 50, 1, 1, 99]
+    codes, first, parts = packing.lay_out(keys, slots, counts)
+    held, of_key = {}, {}
+    for code, f, p, n in zip(codes.tolist(), first.tolist(), parts.tolist(), counts.tolist()):
+        for q in range(p):
+            held[f + q] = held.get(f + q, 0) + n / p
+            of_key.setdefault(code // packing.SLOTS, set()).add(f + q)
+    assert max(held.values()) <= 100 and sum(held.values()) == counts.sum()
+    total = {k: counts[keys == k].sum() for k in set(keys.tolist())}
+    assert all(len(of_key[k]) == 1 for k in total if total[k] <= 100)
+    assert packing.lay_out(*(np.zeros(0, np.int64) for _ in range(3)))[0].tolist() == []
+
+
+def test_capacities_are_not_cut_off(spark, monkeypatch):
+    specs = spark.createDataFrame([(i, 10 + i) for i in range(100)], "spec_id long, capacity_tokens int")
+    assert packing.read_specs(specs) == [(i, 10 + i) for i in range(100)]
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, None)], "doc_id long, text string")
+    assert {r.spec_id for r in packing.pack(docs, "doc_id", "text", packing.read_specs(specs)).collect()} == set(range(100))
+    monkeypatch.setattr(packing, "MAX_SPECS", 99)
+    try:
+        packing.read_specs(specs)
+        raise AssertionError("no error")
+    except ValueError:
+        pass

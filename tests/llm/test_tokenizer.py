@@ -126,18 +126,19 @@ def test_packing(spark, bpe, monkeypatch):
 
 def test_fill_places_every_item_once_and_neighbours_first():
     sizes = [5, 5, 3, 3, 2, 0, 10]
-    boxes = packing.fill(sizes, 10, lambda i: {6: [], 0: [2, 3], 1: []}.get(i, []))
+    boxes = packing.fill(sizes, 10, lambda i, free: {6: [], 0: [2, 3], 1: []}.get(i, []))
     assert sorted(x for b in boxes for x in b) == [0, 1, 2, 3, 4, 6]
     assert all(sum(sizes[i] for i in b) <= 10 for b in boxes)
     assert [0, 2] == next(b for b in boxes if 0 in b)[:2]
-    assert packing.fill([], 10, lambda i: []) == []
+    assert packing.fill([], 10, lambda i, free: []) == []
 
 
 def test_index_scores_are_those_of_bm25_on_signatures():
     import numpy as np
 
     index = packing.Index(np.array([0, 2, 4, 4, 5]), np.array([7, 8, 8, 7, 9]), np.array([2.0, 1.0, 3.0, 0.5, 1.0]))
-    assert index.neighbours(0) == [1] and index.neighbours(2) == [] and index.neighbours(3) == []
+    assert [list(index.neighbours(i)) for i in (0, 2, 3)] == [[1], [], []]
+    assert list(index.neighbours(0, np.array([True, False, True, True]))) == []
 
 
 def test_vocabulary_is_read_from_a_parameter(tmp_path):
