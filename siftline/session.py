@@ -56,9 +56,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df``, a scan, over ``siftline.scan.partitions`` partitions where that is set, else as it is.
+    """``df``, a scan, over ``spark.siftline.scan.partitions`` partitions where that is set, else as it is.
 
     For Python stages on a few large files of one row group, which no scan can split: set it to the number of cores.
     """
-    n = df.sparkSession.conf.get("siftline.scan.partitions", None)
+    n = df.sparkSession.conf.get("spark.siftline.scan.partitions", None)
     return df.repartition(int(n)) if n else df
