@@ -105,14 +105,19 @@ def keys_of(batch, stats: tuple[int, float, np.ndarray]) -> tuple[np.ndarray, np
     # terms that fill a shard or more (a fifth of the documents, if these are few), but not those of every third document
     n_docs, _, df = stats
     common = (df[terms] >= min(SHARD_DOCS, n_docs // 5)) & (3 * df[terms] <= n_docs)
-    terms, owner, weights = terms[common], owner[common], weights[common]
-    order = np.lexsort((terms, -weights, owner))
-    terms, owner = terms[order], owner[order]
-    at = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-    held = np.diff(at)
-    first, second = np.full(batch.num_rows, -1, np.int64), np.full(batch.num_rows, -1, np.int64)
-    first[held > 0] = terms[at[:-1][held > 0]]
-    second[held > 1] = terms[at[:-1][held > 1] + 1]
+    terms, owner, weights = terms[common], owner[common], weights[common].copy()
+    keys = []
+    for _ in range(2):
+        key = np.full(batch.num_rows, -1, np.int64)
+        if len(terms):
+            begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            most = np.repeat(np.maximum.reduceat(weights, begin), np.diff(np.append(begin, len(owner))))
+            top = np.flatnonzero((weights == most) & (weights > 0))
+            top = top[np.unique(owner[top], return_index=True)[1]]  # of equal ones the smallest term
+            key[owner[top]] = terms[top]
+            weights[top] = 0
+        keys.append(key)
+    first, second = keys
     return first, (second + 1) * 40_503 % 65_536 * SLOTS // 65_536
 
 

@@ -181,9 +181,9 @@ def test_documents_of_one_subject_come_into_one_shard(spark, monkeypatch):
     """Eight subjects with words of their own: a document's nearest in the whole corpus lie in its shard, not one in many."""
     from siftline.llm.tokenizer import read_ranks
 
-    monkeypatch.setattr(packing, "SHARD_DOCS", 64)
+    monkeypatch.setattr(packing, "SHARD_DOCS", 50)
     rng = random.Random(3)
-    words = [[f"{a}{b}ing" for b in "qwrtzpsdfg"] for a in ("mail", "rain", "bank", "song", "ship", "leaf", "code", "wolf")]
+    words = [[f"{a}{b}ing" for b in "qw"] for a in ("mail", "rain", "bank", "song", "ship", "leaf", "code", "wolf")]
     docs = [(i, " ".join(rng.choices(words[i % 8], k=25) + rng.choices(["the", "of", "and"], k=25))) for i in range(480)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     ranks = spark.sparkContext.broadcast(read_ranks())
