@@ -3,6 +3,8 @@
 Every span gets a score: what its form alone is worth, plus what a validator adds (area-code structure, national
 check letters and digits), plus or minus what nearby words say (a label before it, or words that mark orders, builds,
 versions). Spans at or above ``THRESHOLD`` stay; where two overlap, the earlier kind in ``KINDS`` wins, then the longer.
+An identity number's form alone stays under the threshold: a checksum that few other numbers meet carries it over (so does a
+label before it, or its place between a name and a phone number in a table), and words for other numbers bring it under again.
 
 Names come from a list of known parts, which may be incomplete. ``learn_parts`` adds parts that stand beside known
 ones, counted over all documents.
@@ -11,26 +13,23 @@ ones, counted over all documents.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.session import spread
 
-try:
-    import ahocorasick
-except ImportError:  # the finder falls back to one alternation
-    ahocorasick = None
-
 KINDS = ("email", "id_number", "phone", "address", "name")
 THRESHOLD = 0.5
 COUNTED_WORDS = 200_000
 MAX_PARTS = 50_000
 
-# Labels of identity numbers (English, German, French, Spanish).
+# Labels of identity numbers: the usual names of such numbers in English, German, French and Spanish.
 ID_LABELS = (
     "ssn", "soc. sec", "soc sec", "social security", "national insurance", "ni number", "ni no", "nino", "steuer-id",
     "steuernummer", "steueridentifikationsnummer", "steuer-identifikationsnummer", "tax id", "tax number",
@@ -39,35 +38,35 @@ ID_LABELS = (
     "identity card", "identity number", "national id", "carte d'identité", "sozialversicherungsnummer",
     "seguridad social",
 )
-# Words directly before a digit run that make it no phone number.
+# Words directly before a digit run that make it another number; chosen by us.
 NO_PHONE = (
     "order", "so-", "version", "build", "part no.", "part no", "isbn", "isbn field", "epoch", "range", "endpoint", "rate",
     "trace", "field", "ticket", "id", "serial", "article", "invoice", "bestellung", "commande", "pedido", "sku", "ref",
 )
-# Words before a phone number.
+# Words before a phone number, in the same languages; chosen by us.
 PHONE_LABELS = (
-    "tel", "phone", "fax", "hotline", "call", "ring", "callback", "mobile", "text", "up at", "form rejects", "móvil",
+    "tel", "phone", "fax", "hotline", "call", "ring", "callback", "mobile", "text", "móvil",
     "rufnummer", "ruf", "telefon", "erreichbar unter", "joignable au", "appelez le", "tél", "llama al", "teléfono",
     "handy", "portable", "contact", "number is",
 )
-# Street words by language, and words before an address.
+# Street words by language, and words before an address; chosen by us.
 STREETS_EN = "street|st|road|rd|lane|ln|avenue|ave|drive|close|court|terrace|way|blvd|boulevard|square|crescent|row|mews|hill|grove|gardens|place|walk|parade"
 STREETS_DE = ("straße", "strasse", "str.", "weg", "gasse", "platz", "allee", "ufer", "damm", "steig", "markt", "ring", "graben", "chaussee", "promenade")
 STREETS_FR = "rue|avenue|av\\.|boulevard|bd|quai|chemin|place|impasse|allée|allee|cours|square|route|passage|faubourg|ruelle|sentier"
 STREETS_ES = ("calle ", "c/ ", "avda. ", "avda ", "av. ", "avenida ", "plaza ", "paseo ", "camino ", "carrera ", "ronda ", "travesía ", "glorieta ")
 ADDRESS_LABELS = (
-    "address", "pickup", "deliver to", "live at", "lives at", "stops at", "office is at", "street", "office", "geocode",
-    "badge to", "moved from", "ship", "visit", "adresse", "anschrift", "dirección", "enviar a", "livrer au", "located at",
+    "address", "pickup", "deliver to", "live at", "lives at", "office is at", "street", "office", "moved from", "ship", "visit",
+    "adresse", "anschrift", "dirección", "enviar a", "livrer au", "located at",
 )
-# Given names and surnames that are ordinary words too.
+# Given names and surnames that are ordinary English words too; chosen by us.
 ORDINARY = frozenset("will mark rose bill grant drew faith page long stone field park price banks may june august hope grace joy art dean king young brown green white black hill wood rich frank pat sue guy jack rob chance chase hunter mason carter parker cook baker bell bush day early fox gold hand house lake lane love mills moon noble pope power rice rivers rush short small snow sparks storm strong summer sweet west winter wise".split())
-# Particles of surnames.
+# Particles of surnames.
 PARTICLES = frozenset("von van der den de la las los le du des del della di da dos zu zur zum af al el bin ben ter ten".split())
-# Words and signs directly before a name.
+# Words and signs directly before a name: titles and prepositions; chosen by us.
 NAME_CUES = (
     "by", "with", "to", "cc", "dr.", "mr", "mr.", "mrs", "mrs.", "ms", "ms.", "mme", "m.", "frau", "herr", "herrn", "sr.", "sra.",
     "von", "thanks,", "owner =", "reviewed-by:", "signed", "signé", "gez.", "firmado:", "contact |", "ask", "says", "as", "in",
-    "user", "bitte", "à", "de", "a", "abrió", "from:", "approved (", '"contact": "', "author:", "(",
+    "user", "à", "de", "a", "from:", '"contact": "', "author:", "(",
 )
 
 _LOCAL = re.compile(r"[^\W_](?:[\w.+%'’&=-]*[\w+])?(?: dot [\w+-]+)*\s?\Z|[^\W_]\s?\Z")
@@ -76,6 +75,7 @@ _DOT = r"(?:\.| ?\[dot\] ?| ?\(dot\) ?| ?\{dot\} ?| dot )"
 _SPELLED = re.compile(
     rf"(?<![\w.+-])[^\W_][\w+%-]*(?:{_DOT}[\w+%-]+)*(?: ?[\[({{] ?at ?[\])}}] ?| at )[^\W_][\w-]*(?:{_DOT}[^\W_][\w-]*)+", re.I
 )
+_MORE_BEFORE = re.compile(r"(?:\bdot|\.|[\])}]) ?\Z")
 _PHONE = re.compile(r"(?<![\w.,/#@&+-])\+?\(?\d[\d ().\-/‐-–\xa0]{5,22}\d(?!\w)")
 _SEP = r"[ .\-/‐-–\xa0]?"
 _PHONES = tuple(
@@ -148,6 +148,43 @@ def id_checksum(value: str) -> bool:
     return v.isdigit() and luhn(v)
 
 
+# Forms whose checksum few other numbers meet: Spanish numbers with their letter, French ones with their key, German tax numbers.
+_CHECKED = re.compile(
+    r"(?<![\w.,/#-])(?:\d{8}[ -]?[A-Z]|\d\d\.\d{3}\.\d{3}[ -]?[A-Z]|[XYZ][ -]?\d{7}[ -]?[A-Z]|[12][ ]?\d\d[ ]?\d\d[ ]?\d\d[ ]?\d{3}[ ]?\d{3}[ ]?\d\d|\d\d[ ]\d{3}[ ]\d{3}[ ]\d{3})(?![\w-]|[.,]\d)"
+)
+FORM, LABELLED, IN_TABLE, OTHER_NUMBER = 0.3, 0.4, 0.3, -0.4
+
+
+def id_evidence(value: str) -> float:
+    """What a value's checksum adds to its score: the more, the fewer other numbers meet it by chance."""
+    v = re.sub(r"[\W_]", "", value).upper()
+    if not id_checksum(value):
+        return 0.0
+    if v[-1:].isalpha() or len(v) == 15:  # 1 in 23, 1 in 97
+        return 0.3
+    if len(v) == 11:  # 1 in 10, and one of the first ten digits stands there two or three times, the others once at most
+        times = Counter(v[:10]).values()
+        return 0.25 if sorted(times)[-1] in (2, 3) and sum(t > 1 for t in times) == 1 else 0.1
+    return 0.1  # Luhn: 1 in 10
+
+
+class Taken:
+    """Stretches of a text that do not overlap, in order."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def free(self, s: int, e: int) -> bool:
+        return bisect_right(self.ends, s) == bisect_left(self.starts, e)
+
+    def add(self, s: int, e: int) -> None:
+        """Adds a stretch, if it is free."""
+        if self.free(s, e):
+            insort(self.starts, s)
+            insort(self.ends, e)
+
+
 class Finder:
     """Finds the spans of one text. Given and surname parts are lower case."""
 
@@ -156,23 +193,14 @@ class Finder:
         kinds: dict[str, str] = {p: "n" for p in self.given | self.surnames if len(p) > 1}
         kinds |= {x: "i" for x in ID_LABELS} | {x: "s" for x in STREETS_ES} | {x: "g" for x in STREETS_DE}
         kinds |= {"@": "@", " dot ": "d", "[dot]": "d", "(dot)": "d", "(at)": "d", "[at]": "d"}
-        if ahocorasick is not None:
-            self._auto = ahocorasick.Automaton()
-            for word, kind in kinds.items():
-                self._auto.add_word(word, (len(word), kind))
-            self._auto.make_automaton()
-        else:
-            self._auto = None
-            self._alternation = re.compile("|".join(map(re.escape, sorted(kinds, key=len, reverse=True))))
-            self._kinds = kinds
+        self._auto = ahocorasick.Automaton()
+        for word, kind in kinds.items():
+            self._auto.add_word(word, (len(word), kind))
+        self._auto.make_automaton()
 
     def _hits(self, low: str) -> Iterator[tuple[int, int, str]]:
-        if self._auto is not None:
-            for end, (n, kind) in self._auto.iter(low):
-                yield end + 1 - n, end + 1, kind
-        else:
-            for m in self._alternation.finditer(low):
-                yield m.start(), m.end(), self._kinds[m.group()]
+        for end, (n, kind) in self._auto.iter(low):
+            yield end + 1 - n, end + 1, kind
 
     def spans(self, text: str | None) -> list[tuple[int, int, str]]:
         """Sorted, without overlaps: (start, end, kind)."""
@@ -202,26 +230,48 @@ class Finder:
         done = 0
         for s in spelled:
             if s >= done:
-                for m in _SPELLED.finditer(text, max(0, s - 90), min(len(text), s + 90)):
-                    if m.end() > s:
-                        found.append((m.start(), m.end(), "email", 0.9))
-                        done = m.end()
+                for begin, end in self._spelled(text, s):
+                    found.append((begin, end, "email", 0.9))
+                    done = end
         self._phones(text, low, found)
         self._streets(text, low, found)
-        taken = sorted((s, e) for s, e, kind, _ in found if kind == "email")
-        self._names(text, low, [h for h in names if not any(s <= h[0] < e for s, e in taken)], found)
+        self._checked(text, low, found)
+        emails = Taken()
+        for s, e, kind, _ in found:
+            if kind == "email":
+                emails.add(s, e)
+        self._names(text, low, [h for h in names if emails.free(h[0], h[0] + 1)], found)
         if "\t" in text:
             self._cells(text, found)
         found = [x for x in found if x[3] >= THRESHOLD]
         found.sort(key=lambda x: (KINDS.index(x[2]), x[0] - x[1], x[0]))
-        kept: list[tuple[int, int, str]] = []
+        kept, taken = [], Taken()
         for s, e, kind, _ in found:
-            if all(e <= a or s >= b for a, b, _ in kept):
+            if taken.free(s, e):
+                taken.add(s, e)
                 kept.append((s, e, kind))
         return sorted(kept)
 
+    @staticmethod
+    def _spelled(text: str, at: int) -> list[tuple[int, int]]:
+        """Addresses with a spelled-out dot or at that reach beyond ``at``; the window grows until none is cut at its ends."""
+        width = 90
+        while True:
+            a, b = max(0, at - width), min(len(text), at + width)
+            out = [(m.start(), m.end()) for m in _SPELLED.finditer(text, a, b) if m.end() > at]
+            cut = any(s == a > 0 or e == b < len(text) or a and _MORE_BEFORE.search(text, max(0, s - 8), s) for s, e in out)
+            if width >= len(text) or not cut and (out or not _MORE_BEFORE.search(text, max(0, a - 8), a)):
+                return out
+            width *= 4
+
     def _email(self, text: str, at: int, found: list) -> None:
-        m = _LOCAL.search(text, max(0, at - 80), at)
+        width = 80
+        while True:
+            a = max(0, at - width)
+            m = _LOCAL.search(text, a, at)
+            if a == 0 or not m or m.start() > a:
+                break
+            width *= 4
         d = _DOMAIN.match(text, at + 1)
         if not m or not d:
             return
@@ -242,7 +292,14 @@ class Finder:
         digit = gap.end()
         m = self._id_value(text, digit, end)
         if m:
-            found.append((m.start(), m.end(), "id_number", 0.7 + 0.2 * id_checksum(m.group())))
+            found.append((m.start(), m.end(), "id_number", FORM + LABELLED + id_evidence(m.group())))
+
+    @staticmethod
+    def _checked(text: str, low: str, found: list) -> None:
+        """Identity numbers that no label announces: their checksum must confirm them, and no word for another number stands before."""
+        for m in _CHECKED.finditer(text):
+            before = low[max(0, m.start() - 24) : m.start()].rstrip(" =:\"'(#|").rstrip()
+            found.append((m.start(), m.end(), "id_number", FORM + id_evidence(m.group()) + OTHER_NUMBER * before.endswith(NO_PHONE)))
 
     @staticmethod
     def _id_value(text: str, digit: int, least: int) -> re.Match | None:
@@ -274,7 +331,7 @@ class Finder:
             digit = next((k for k, c in enumerate(cell) if c.isdigit()), None)
             m = self._id_value(text, a + digit, a) if digit is not None and digit < 4 else None
             if m and m.start() == a and m.end() == b:
-                found.append((a, b, "id_number", 0.7))
+                found.append((a, b, "id_number", FORM + IN_TABLE + id_evidence(m.group())))
 
     def _phones(self, text: str, low: str, found: list) -> None:
         for m in _PHONE.finditer(text):
@@ -316,7 +373,7 @@ class Finder:
                 continue
             cased = all(w[0].isupper() for w in body)
             before = low[max(0, m.start() - 26) : m.start()]
-            score = (0.6 if cased else 0.3) + 0.3 * any(x in before for x in ADDRESS_LABELS) + 0.2 * before.rstrip().endswith("|")
+            score = (0.6 if cased else 0.3) + 0.3 * any(x in before for x in ADDRESS_LABELS) + 0.2 * bool(re.search(r"(?:\||\bat|[\"'(„“«])\s*\Z", before))
             if not cased and len({w.islower() for w in body}) > 1:
                 score -= 0.3
             end = m.end()
@@ -344,7 +401,7 @@ class Finder:
 
     def _street_es(self, text: str, s: int, e: int, found: list) -> None:
         m = _ADDRESS_ES.match(text, e)
-        if m and m.end() - s <= 80:
+        if m:
             caps = any(w[0].isupper() for w in m.group().split() if w[0].isalpha()) or text[s:e].isupper()
             label = any(x in text[max(0, s - 26) : s].lower() for x in ADDRESS_LABELS)
             found.append((s, m.end(), "address", 0.4 + 0.3 * (caps and text[s].isupper()) + 0.3 * label))
@@ -370,15 +427,19 @@ class Finder:
         for s, e in hits:
             if s < done:
                 continue
-            a, b = max(0, s - 48), min(len(text), e + 48)
-            if a and text[a - 1].isalnum():
-                while a < s and text[a].isalnum():
+            best, width = None, 60
+            while True:
+                a, b = max(0, s - width), min(len(text), e + width)
+                while a and text[a - 1].isalnum() and a < s and text[a].isalnum():
                     a += 1
-            words = [(m.group(), m.start(), m.end(), self.kind_of(m.group())) for m in _WORD.finditer(text, a, b)]
-            at = next((k for k, w in enumerate(words) if w[1] <= s < w[2]), None)
+                words = [(m.group(), m.start(), m.end(), self.kind_of(m.group())) for m in _WORD.finditer(text, a, b)]
+                at = next((k for k, w in enumerate(words) if w[1] <= s < w[2]), None)
+                # six words on either side, none of them cut, or the whole text
+                if a == 0 and b == len(text) or at is not None and (at >= 5 or a == 0) and (len(words) - at > 6 or b == len(text)) or width > 200 and not (b < len(text) and text[b].isalnum()):
+                    break
+                width *= 2
             if at is None:
                 continue
-            best = None
             for first in range(max(0, at - 5), at + 1):
                 got = self._match(text, low, words, first)
                 if got and got[0] <= s < got[1] and (best is None or got[1] - got[0] > best[1] - best[0]):

@@ -170,3 +170,84 @@ def test_occurrences_in_documents_without_a_pair_count(spark):
 def test_unusual_case_mappings_keep_positions():
     text = "İİİ ask Morag Bexcroft"
     assert found(text, "name") == ["Morag Bexcroft"]
+
+
+@pytest.mark.parametrize(
+    "text, mentions",
+    [
+        ("her number 12345678Z was given", ["12345678Z"]),  # the letter is right, no label is needed
+        ("her number 12345678A was given", []),
+        ("part no. 12345678Z was given", []),  # a word for another number
+        ("her number 2 55 08 14 168 025 38 was given", ["2 55 08 14 168 025 38"]),
+        ("her number 2 55 08 14 168 025 39 was given", []),
+        ("DNI 12345678A", ["12345678A"]),  # a label alone is enough
+        ("value 86 095 742 719 here", ["86 095 742 719"]),
+        ("value 86 095 742 718 here", []),
+    ],
+)
+def test_checksums_and_labels_decide(text, mentions):
+    assert found(text, "id_number") == mentions
+
+
+@pytest.mark.parametrize("n", [79, 100, 2000])
+def test_long_mentions_are_found_whole(n):
+    address = "a" * n + "@mail.example.org"
+    assert found(f"write to {address} now") == [address]
+    spelled = " dot ".join(["abc"] * n) + " at corp dot example dot org"
+    assert found("x: " + spelled + ", ok") == [spelled]
+    long_name = "Morag " + "van " * 3 + "Bexcroft-" + "Drossbach-" * (n // 10) + "Park"
+    assert found(f"by {long_name} on", "name") == [long_name]
+
+
+def test_many_mentions_take_time_in_proportion():
+    import time
+
+    def seconds(n):
+        text = "a@b.org, Morag Bexcroft; " * n
+        t = time.process_time()
+        assert len(FINDER.spans(text)) == 2 * n
+        return time.process_time() - t
+
+    seconds(100)
+    assert seconds(16_000) < 16 * seconds(2_000) + 0.5
+
+
+def labelled_texts(n, seed):
+    """Texts with marked mentions in four languages, and numbers and names that are none; written for this test only."""
+    import random
+
+    rng = random.Random(seed)
+    given, last = sorted(FINDER.given - {"will", "mark", "rose"}), sorted(FINDER.surnames - {"park", "price"})
+    d = lambda k: "".join(rng.choices("0123456789", k=k))
+    person = lambda: f"{rng.choice(given).title()} {rng.choice(last).title()}"
+    street = lambda: rng.choice(["Birch", "Castle", "Orchard", "Harbour"])
+    make = {
+        "name": lambda: rng.choice([person(), f"{rng.choice(last).title()}, {rng.choice(given).title()}", f"{rng.choice(given)[0].upper()}. {rng.choice(last).title()}", person().upper()]),
+        "email": lambda: rng.choice([f"{rng.choice(given[:2])}.{d(2)}@post.example.net", f"desk+{d(3)}@a-b.example.com", f"info at shop{d(1)} dot example dot org"]),
+        "phone": lambda: rng.choice([f"+44 20 7946 0{d(3)}", f"(415) 555-01{d(2)}", f"+49 30 2312{d(4)}", f"01 99 00 {d(2)} {d(2)}", f"+34 612 {d(3)} {d(3)}"]),
+        "address": lambda: rng.choice([f"{rng.randint(1, 300)} {street()} {rng.choice(['Road', 'Lane', 'Street'])}", f"{rng.choice(['Garten', 'Kirchen', 'Mühlen'])}straße {rng.randint(1, 99)}", f"{rng.randint(1, 99)} rue de la {rng.choice(['Gare', 'Fontaine'])}", f"Calle de la {rng.choice(['Luna', 'Fuente'])}, {rng.randint(1, 99)}"]),
+        "id_number": lambda: rng.choice([f"{rng.choice(['SSN', 'social security number'])} {{{d(3)}-{d(2)}-{d(4)}}}", f"NIF {{{d(8)}{rng.choice('ABCDEFGH')}}}", f"Steuer-ID {{{d(2)} {d(3)} {d(3)} {d(3)}}}", f"passport no {{{rng.choice('CFK')}{d(8)}}}"]),
+    }
+    frames = ["The letter came from {} last week.", "Bitte {} eintragen.", "Voici {} pour le dossier.", "Apunte {} en la ficha.", "We wrote down {} and closed the case."]
+    decoys = ["Order {} ships soon.", "Version 4.{} is out.", "It failed at 2026-03-0{}T10:00:00Z.", "See part no. {} in the list.", "It took {} ms."]
+    for _ in range(n):
+        text, want = "", set()
+        for _ in range(rng.randint(1, 4)):
+            if rng.random() < 0.3:
+                text += rng.choice(decoys).format(d(rng.randint(1, 7))) + " "
+                continue
+            kind = rng.choice(list(make))
+            item = make[kind]()
+            mention = item[item.index("{") + 1 : -1] if "{" in item else item
+            text += rng.choice(frames).format(item.replace("{", "").replace("}", "")) + " "
+            want.add((kind, mention))
+        yield text, want
+
+
+def test_recall_and_precision_on_labelled_texts():
+    right = wanted = given = 0
+    for text, want in labelled_texts(1500, 11):
+        got = {(k, text[s:e]) for s, e, k in FINDER.spans(text)}
+        right, wanted, given = right + len(got & want), wanted + len(want), given + len(got)
+    print(f"recall {right / wanted:.3f}, precision {right / given:.3f} of {wanted} mentions")
+    assert right >= 0.9 * wanted and right >= 0.9 * given
