@@ -12,7 +12,7 @@ from siftline.operators.catalog import Catalog
 
 def by_names(catalog: Catalog, names: Sequence[str]) -> list[dict]:
     """The named rows, each once, in order; unknown names are skipped."""
-    return [catalog.get(n) for n in dict.fromkeys(names) if n in catalog]
+    return list(catalog.lookup(names).values())
 
 
 def runner(catalog: Catalog, name: str) -> Callable[..., str]:
@@ -25,7 +25,7 @@ async def run_async(catalog: Catalog, name: str, arguments: dict) -> str:
 
 
 def search_results(catalog: Catalog, query: str, k: int = 5) -> str:
-    rows = [catalog.get(r["id"]) for r in catalog.search(query, k)]
+    rows = by_names(catalog, [r["id"] for r in catalog.search(query, k)])
     return json.dumps([{"name": r["name"], "description": r["description"], "parameters": json.loads(r["parameters"])} for r in rows], ensure_ascii=False)
 
 

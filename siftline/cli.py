@@ -52,10 +52,12 @@ def cmd_draft(spark: SparkSession, a: argparse.Namespace) -> int:
     pairs = rt.siblings(docs.select(F.col("name").alias("id"), "grp", tx.tokenize("text").alias("tokens")), targets)
     shown = rows.select("name", tx.describe("name", "description", "params").alias("shown"))
     asked = cg.prompts(shown, pairs).join(targets.withColumnRenamed("query_id", "name"), "name")
-    cache = spark.read.parquet(a.cache) if a.cache else spark.createDataFrame([], "k string, v string")
+    cache = files.read_cache(spark, a.cache)
     keyed = asked.select(tx.cache_key(F.lit("draft"), F.lit(a.model), F.sha2("prompt", 256)).alias("k"), "prompt")
     print(f"{cg.require_paid(keyed, cache, a.yes)} prompts to answer", file=sys.stderr)
-    got, _ = cg.replies(asked, cache, complete_with(a.complete), a.model)
+    got, fresh = cg.replies(asked, cache, complete_with(a.complete), a.model)
+    if a.cache:
+        fresh.write.mode("append").parquet(a.cache)
     known = pairs.groupBy(F.col("query_id").alias("name")).agg(F.collect_list("id").alias("siblings"))
     drafted = cg.drafted_rows(got.join(known, "name", "left").withColumn("siblings", F.coalesce("siblings", F.array().cast("array<string>"))))
     files.write_json(drafted.join(rows.select("name", F.col("grp").alias("server")), "name").drop("name").withColumn("status", F.lit("draft")), a.out, "overwrite")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import heapq
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftline.functions import text as tx
+from siftline.session import materialise, numbered
 
-CASE_BLOCK = 4_096
 DRAFT = T.StructType(
     [
         T.StructField("direct", T.ArrayType(T.StringType())),
@@ -21,11 +19,19 @@ DRAFT = T.StructType(
         T.StructField("multi", T.StructType([T.StructField("query", T.StringType()), T.StructField("also", T.StringType())])),
     ]
 )
-PROMPT = """Write requests that a user of an assistant would type, for which exactly one tool of a catalog is right.
-Use everyday words and invented details, and neither the tool's name nor the telling words of its description.
-Answer with a JSON object only: {{"direct": [two requests], "confusable": {{"query": a request that looks like it is for a
-sibling but needs the target, "confused_with": the sibling's name}}, "multi": {{"query": a request that needs the target
-first and then a sibling, "also": the sibling's name}} or null}}.
+# What the drafter is asked for follows from DRAFT, the shape of a reply.
+PROMPT = """TARGET is the definition of one tool. SIBLINGS are definitions of tools that share its group.
+
+Draft test messages for a tool search. Each must read like something a person types into a chat window without knowing that
+tools exist: no identifiers, no phrases lifted from the definitions, concrete made-up names, dates and amounts where they help.
+
+Return one JSON object and nothing around it, of this shape:
+{"direct": ["...", "..."], "confusable": {"query": "...", "confused_with": "..."}, "multi": {"query": "...", "also": "..."}}
+- "direct": a list of 2 strings, messages that TARGET alone can serve.
+- "confusable": an object. Its "query" is a message that seems to fit one of SIBLINGS at first sight but can only be served by
+  TARGET; its "confused_with" is the name of that sibling.
+- "multi": an object whose "query" is a message that takes TARGET for the first step and one of SIBLINGS for the second, and
+  whose "also" is the name of that sibling; null if no sibling makes sense as a second step.
 
 TARGET:
 {target}
@@ -58,7 +64,7 @@ def prompts(shown: DataFrame, pairs: DataFrame, prompt: str = PROMPT) -> DataFra
     """``(name, prompt)`` from ``shown(name, shown)`` and ``pairs(query_id, id, rank)``, a target's siblings in their order."""
     near = pairs.join(shown.select(F.col("name").alias("id"), "shown"), "id").groupBy(F.col("query_id").alias("name")).agg(F.array_sort(F.collect_list(F.struct("rank", "shown"))).alias("s"))
     text = F.coalesce(F.array_join(F.transform("s", lambda x: x["shown"]), "\n\n"), F.lit("(none)"))
-    filled = F.replace(F.replace(F.lit(prompt.replace("{{", "{").replace("}}", "}")), F.lit("{siblings}"), text), F.lit("{target}"), F.col("shown"))
+    filled = F.replace(F.replace(F.lit(prompt), F.lit("{siblings}"), text), F.lit("{target}"), F.col("shown"))
     return shown.join(near, "name", "left").select("name", filled.alias("prompt"))
 
 
@@ -84,7 +90,8 @@ def replies(requests: DataFrame, cache: DataFrame, complete: Callable[[str], str
     """``(name, reply)`` for ``requests(name, prompt)`` and the replies to add to the cache ``(k, v)``.
 
     ``complete`` is called once for each prompt the cache lacks; a call that fails or gives nothing has a null reply, which
-    is not cached.
+    is not cached. The calls are made now and their replies written to the shared folder, so that nothing read later pays
+    for them again. The caller appends the second table to its cache before it goes on.
     """
     keyed = requests.withColumn("k", tx.cache_key(F.lit("draft"), F.lit(model), F.sha2("prompt", 256)))
 
@@ -99,7 +106,7 @@ def replies(requests: DataFrame, cache: DataFrame, complete: Callable[[str], str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["k", "v"])
 
     missing = keyed.select("k", "prompt").dropDuplicates(["k"]).join(cache, "k", "left_anti")
-    fresh = missing.mapInArrow(run, "k string, v string").where("v is not null")
+    fresh = materialise(missing.mapInArrow(run, "k string, v string").where("v is not null"), "replies")
     return keyed.join(cache.unionByName(fresh), "k", "left").select("name", F.col("v").alias("reply")), fresh
 
 
@@ -179,53 +186,50 @@ def totals(cases: DataFrame, catalog: DataFrame) -> DataFrame:
     return out
 
 
-def random_subset(cases: DataFrame, catalog: DataFrame, n: int, seed: int = 7, size: int | None = None) -> DataFrame:
-    """``(query_id, name, pos)``: for each case its expected rows and others, n in all, in a shuffled order that is fixed by
-    seed, case and n. A catalog of no more than n rows is shown whole.
+def next_prime(n: int) -> int:
+    """The smallest prime that is at least n and 2."""
+    n = max(2, n)
+    while any(n % d == 0 for d in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
 
-    Others are drawn by md5(seed, case, n, name). Only the n names of each case that come first in md5 order are needed, so
-    each batch of the catalog keeps n per case before the shuffle. Names in ``catalog`` are unique.
-    """
-    total = catalog.count() if size is None else size
-    expected = cases.select("query_id", F.explode(F.array_distinct("expected")).alias("name")).join(catalog.select("name"), "name", "left_semi")
-    drawn = _drawn(cases, catalog, min(n, total), f"{seed}", n, whole=total <= n)
-    if total <= n:
-        return drawn.select("query_id", "name").withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("name")))
-    w = Window.partitionBy("query_id").orderBy("d", "name")
-    drawn = drawn.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
-    have = expected.groupBy("query_id").agg(F.count("*").alias("have"))
-    drawn = drawn.join(have, "query_id", "left").where(F.col("rn") <= n - F.coalesce("have", F.lit(0))).select("query_id", "name")
-    both = expected.select("query_id", "name").unionByName(drawn)
-    shuffled = Window.partitionBy("query_id").orderBy(F.md5(F.concat_ws(":", F.lit("order"), F.lit(str(seed)), F.col("query_id").cast("string"), F.col("name"))), "name")
-    return both.withColumn("pos", F.row_number().over(shuffled))
 
+def number_of(key: Column) -> Column:
+    """A number below 2^32 that is fixed by a text."""
+    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
 
-def _drawn(cases: DataFrame, catalog: DataFrame, keep: int, seed: str, n: int, whole: bool) -> DataFrame:
-    """``(query_id, name, d)``: of each batch of the catalog the ``keep`` names that come first in md5 order for each case.
 
-    The cases are a stated query set, held in blocks of ``CASE_BLOCK``; every block passes over the catalog once.
+def random_subset(cases: DataFrame, catalog: DataFrame, n: int, seed: int = 7) -> DataFrame:
+    """``(query_id, name, pos)``: for each case its expected rows and others, n in all, in a shuffled order that is fixed by
+    seed, case and n. A catalog of no more than n rows is shown whole, in the order of names; expected rows beyond n are kept.
+
+    Others are drawn by place: with the catalog in the order of names, p the next prime from its size, and a start and a step
+    that md5 fixes for each case, the places are (start + j * step) mod p for j = 0, 1, ... That visits every place once, any
+    two names fall together as often as any two others, and a case costs as many rows as it shows, whatever the catalog holds.
+    Names in ``catalog`` are unique and not null; null or empty ``expected`` and unknown names count for nothing.
     """
-    held = cases.select("query_id", "expected")
-    blocks = max(1, -(-held.count() // CASE_BLOCK))
-    kind = held.schema["query_id"].dataType.simpleString()
-    parts = []
-    for b in range(blocks):
-        block = held if blocks == 1 else held.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        shared = cases.sparkSession.sparkContext.broadcast([(r.query_id, frozenset(r.expected or ())) for r in block.collect()])
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                names = batch.column(0).to_pylist()
-                for query_id, expected in shared.value:
-                    rows = ((hashlib.md5(f"{seed}:{query_id}:{n}:{x}".encode()).hexdigest(), x) for x in names if whole or x not in expected)
-                    best = list(rows) if whole else heapq.nsmallest(keep, rows)
-                    yield pa.RecordBatch.from_arrays([pa.array([query_id] * len(best)), pa.array([x for _, x in best], pa.string()), pa.array([d for d, _ in best], pa.string())], ["query_id", "name", "d"])
-
-        parts.append(catalog.select("name").where("name is not null").mapInArrow(run, f"query_id {kind}, name string, d string"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    names = numbered(catalog.select("name").where("name is not null"), "name", name="place")
+    total = names.count()
+    if total == 0:
+        return cases.select("query_id", F.lit("").alias("name"), F.lit(0).alias("pos")).limit(0)
+    prime = next_prime(total)
+    wanted = F.array_compact(F.array_distinct(F.coalesce("expected", F.array().cast("array<string>"))))
+    expected = cases.select("query_id", F.explode(wanted).alias("name")).join(names.select("name"), "name", "left_semi").select("query_id", "name")
+    key = F.concat_ws(":", F.lit(str(seed)), F.col("query_id").cast("string"), F.lit(str(n)))
+    walk = cases.select("query_id", wanted.alias("expected"), F.pmod(number_of(F.concat(F.lit("start:"), key)), F.lit(prime)).alias("start"), (F.pmod(number_of(F.concat(F.lit("step:"), key)), F.lit(prime - 1)) + 1).alias("step"))
+    if total <= n:
+        places = F.sequence(F.lit(0).cast("bigint"), F.lit(total - 1).cast("bigint"))
+        shown = walk.select("query_id", F.explode(places).alias("place")).join(names, "place")
+        return shown.select("query_id", "name", (F.col("place") + 1).cast("int").alias("pos"))
+    # as many steps as there are rows to show, expected ones to pass over, and places beyond the catalog
+    steps = F.least(F.lit(prime - 1), F.lit(n + prime - total - 1) + F.size("expected"))
+    seen = walk.select("query_id", "expected", F.posexplode(F.transform(F.sequence(F.lit(0), steps), lambda j: F.pmod(F.col("start") + j * F.col("step"), F.lit(prime)))).alias("j", "place"))
+    drawn = seen.where(F.col("place") < total).join(names, "place").where(~F.array_contains("expected", F.col("name")))
+    have = expected.groupBy("query_id").agg(F.count("*").alias("have"))
+    drawn = drawn.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy("j"))).join(have, "query_id", "left")
+    both = expected.unionByName(drawn.where(F.col("rn") <= n - F.coalesce("have", F.lit(0))).select("query_id", "name"))
+    order = F.md5(F.concat_ws(":", F.lit("order"), F.lit(str(seed)), F.col("query_id").cast("string"), F.col("name")))
+    return both.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(order, "name")))
 
 
 def shuffled(found: DataFrame, seed: int = 7) -> DataFrame:

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from urllib.error import HTTPError, URLError
+from urllib.request import Request, urlopen
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftline.session import materialise
 from siftline.sources.formats import quote
 
 NO_TOOL = "none"
@@ -51,6 +55,49 @@ def requests(shortlists: DataFrame, model: str, ask_needs_tool: bool = False) ->
     return held.select("query_id", F.concat(*parts, F.lit("}}")).alias("body"))
 
 
+def http_sender(url: str, key: str | None = None, timeout: float = 30.0) -> Callable[[str], str]:
+    """A function that posts a request body to a choice model and returns the answer's body.
+
+    It raises a RuntimeError with the status and the beginning of the body for an answer that is no success, and with the
+    reason if there is no answer in ``timeout`` seconds.
+    """
+    headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
+
+    def send(body: str) -> str:
+        try:
+            with urlopen(Request(url, data=body.encode(), headers=headers, method="POST"), timeout=timeout) as answer:  # noqa: S310
+                return answer.read().decode()
+        except HTTPError as e:
+            raise RuntimeError(f"HTTP {e.code}: {e.read(500).decode('utf-8', 'replace')}") from e
+        except (URLError, OSError) as e:
+            raise RuntimeError(f"no answer: {getattr(e, 'reason', e)}") from e
+
+    return send
+
+
+def send_requests(bodies: DataFrame, send: Callable[[str], str]) -> DataFrame:
+    """``(query_id, body, error)`` of ``bodies(query_id, body)``: each is sent once, now, and the answers are written.
+
+    What fails has a null body and its error; a null body is not sent and has neither.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            answers, errors = [], []
+            for body in batch.column(1).to_pylist():
+                answer = error = None
+                try:
+                    answer = None if body is None else send(body)
+                except Exception as e:  # noqa: BLE001 - the error is the row's result
+                    error = str(e) or type(e).__name__
+                answers.append(answer)
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(answers, pa.string()), pa.array(errors, pa.string())], ["query_id", "body", "error"])
+
+    source = bodies.select("query_id", "body")
+    return materialise(source.mapInArrow(run, f"query_id {source.schema['query_id'].dataType.simpleString()}, body string, error string"), "answers")
+
+
 def parse_response(responses: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """``(query_id, pick, confidence, ranked, needs_tool)`` of ``responses(query_id, body)``.
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LOG_N = 1_000
+TAIL_BLOCK = 65_536
 
 
 def last_per_query(records: DataFrame, by: Sequence[str] = ("condition", "i"), order: str = "rec_id") -> DataFrame:
@@ -32,17 +33,24 @@ def mcnemar_p(a_only: Column, b_only: Column) -> Column:
     return F.when(n == 0, 1.0).when(n <= LOG_N, F.least(F.lit(1.0), 2 * short)).otherwise(_log_tail(a_only, b_only))
 
 
-@F.pandas_udf(T.DoubleType())
-def _log_tail(a: pd.Series, b: pd.Series) -> pd.Series:
-    from math import lgamma, log
+def binomial_tail(n: int, m: int) -> float:
+    """P(X <= m) of n fair coins, m <= n / 2: the largest term, then the ratios down from it until they add nothing.
+
+    That is some multiple of the root of n terms, taken in blocks.
+    """
+    from math import exp, lgamma, log
 
-    def one(x, y):
-        n, m = int(x + y), int(min(x, y))
-        logs = np.array([lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) - n * log(2) for j in range(m + 1)])
-        top = logs.max()
-        return float(min(1.0, 2 * np.exp(top) * np.exp(logs - top).sum()))
+    total, last, j = 1.0, 1.0, m
+    while j > 0 and last > 1e-18 * total:
+        at = np.arange(j, max(0, j - TAIL_BLOCK), -1, dtype=np.float64)
+        terms = last * np.cumprod(at / (n - at + 1))
+        total, last, j = total + float(terms.sum()), float(terms[-1]), j - len(at)
+    return exp(lgamma(n + 1) - lgamma(m + 1) - lgamma(n - m + 1) - n * log(2) + log(total))
 
-    return pd.Series([one(x, y) for x, y in zip(a, b)])
+
+@F.pandas_udf(T.DoubleType())
+def _log_tail(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([min(1.0, 2 * binomial_tail(int(x + y), int(min(x, y)))) for x, y in zip(a, b)], dtype="float64")
 
 
 def paired(a: DataFrame, b: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -16,7 +16,7 @@ from siftline.plans import common as c
 from siftline.plans.registry import Registry
 from siftline.plans.retrieval_queries import TOOL_DOCS, bm25_sql, index
 from siftline.plans.text_queries import DESCRIBE_SQL
-from siftline.session import table
+from siftline.session import numbered, table
 from siftline.sources import files, formats, servers
 
 R = Registry()
@@ -154,15 +154,17 @@ def gen10(spark, d):
 
 @R.add(
     "gen11_random_subset",
-    f"""WITH {c.CATALOG}, cs AS (SELECT query_id, coalesce(expected, []) AS expected FROM queries_before_review WHERE query_id % 100 = 0),
-    e AS (SELECT DISTINCT query_id, name FROM (SELECT query_id, unnest(expected) AS name FROM cs) SEMI JOIN latest USING (name)),
-    o AS (SELECT query_id, name, row_number() OVER (PARTITION BY query_id ORDER BY md5('7:' || query_id || ':10:' || name), name) AS rn FROM cs, (SELECT name FROM latest) WHERE NOT list_contains(expected, name)),
+    f"""WITH {c.CATALOG}, nm AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS place FROM latest WHERE name IS NOT NULL), t AS (SELECT count(*) AS total FROM nm),
+    p AS (SELECT total, (SELECT min(x) FROM range(total, total + 500) r(x) WHERE NOT EXISTS (SELECT 1 FROM range(2, 10000) q(y) WHERE y * y <= x AND x % y = 0)) AS prime FROM t),
+    cs AS (SELECT query_id, list_distinct(coalesce(expected, [])) AS expected, ('0x' || md5('start:7:' || query_id || ':10')[:8])::BIGINT AS a, ('0x' || md5('step:7:' || query_id || ':10')[:8])::BIGINT AS b FROM queries_before_review),
+    e AS (SELECT query_id, name FROM (SELECT query_id, unnest(expected) AS name FROM cs) SEMI JOIN nm USING (name)),
+    w AS (SELECT query_id, expected, total, j, (a % prime + j * (b % (prime - 1) + 1)) % prime AS place FROM (SELECT *, unnest(range(0, 10 + prime - total + len(expected))) AS j FROM cs, p)),
+    o AS (SELECT query_id, name, row_number() OVER (PARTITION BY query_id ORDER BY j) AS rn FROM w JOIN nm USING (place) WHERE NOT list_contains(expected, name)),
     b AS (SELECT query_id, name FROM e UNION ALL SELECT o.query_id, o.name FROM o LEFT JOIN (SELECT query_id, count(*) AS have FROM e GROUP BY query_id) h USING (query_id) WHERE rn <= 10 - coalesce(have, 0))
     SELECT query_id, name, (row_number() OVER (PARTITION BY query_id ORDER BY md5('order:7:' || query_id || ':' || name), name))::INT AS pos FROM b""",
 )
 def gen11(spark, d):
-    cases = table(spark, d, "queries_before_review").where("query_id % 100 = 0").select("query_id", F.coalesce("expected", F.array().cast("array<string>")).alias("expected"))
-    return cg.random_subset(cases, c.latest_tools(spark, d), 10)
+    return cg.random_subset(table(spark, d, "queries_before_review").select("query_id", "expected"), c.latest_tools(spark, d), 10)
 
 
 @R.add("gen12_shuffled_shortlist", f"WITH {c.TEXTS}, {bm25_sql(TOOL_DOCS, '20')} SELECT query_id, id, rank::INT AS rank, (row_number() OVER (PARTITION BY query_id ORDER BY md5('7:' || query_id || ':shuffle:' || id), id))::INT AS pos FROM kw")
@@ -231,9 +233,7 @@ def src2(spark, d):
 def src4(spark, d):
     """Cases of status ok with their place among all non-blank ones, which is given before the others are left out."""
     rows = table(spark, d, "queries_before_review").where("trim(coalesce(query, '')) <> ''")
-    order = rows.select("query_id", "status").repartitionByRange("query_id").sortWithinPartitions("query_id")
-    numbered = order.rdd.zipWithIndex().map(lambda x: (x[1], x[0].query_id, x[0].status)).toDF("uid bigint, query_id bigint, status string")
-    return files.filter_status(numbered).select("uid", "query_id")
+    return files.filter_status(numbered(rows.select("query_id", "status"), "query_id")).select("uid", "query_id")
 
 
 @R.add(

@@ -216,18 +216,9 @@ def _all_pairs(rows):
     return both.where("a < b").select(F.lit("all").alias("question"), "a", "b")
 
 
-@R.add(
-    "sta2_bootstrap",
-    f"""WITH {PAIRS}, k AS (SELECT a, b, count(*) AS n, sum((ca < cb)::INT)::BIGINT AS neg, sum((ca > cb)::INT)::BIGINT AS pos FROM pairs WHERE b LIKE 'top-20%' AND a LIKE 'top%' GROUP BY ALL),
-    s AS (SELECT a, b, n, neg, pos, r, list_sum(list_transform(range(0, n), lambda j: CASE WHEN {{L}} % n < neg THEN -1 WHEN {{L}} % n >= n - pos THEN 1 ELSE 0 END)) AS x FROM k, (SELECT unnest(range(0, 200)) AS r)),
-    o AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY x, r) - 1 AS kk FROM s)
-    SELECT a, b, round(any_value((pos - neg) / n), 6) AS diff, round(max(x / n) FILTER (WHERE kk = 5), 6) AS lo, round(max(x / n) FILTER (WHERE kk = 194), 6) AS hi FROM o GROUP BY a, b""".replace(
-        "{L}", "(((((j * 7919 + r * 104729 + 7) % 2147483648) * 1103515245 + 12345) % 2147483648 * 1103515245 + 12345) % 2147483648 // 65536)"
-    ),
-)
+@R.add("sta2_bootstrap")
 def sta2(spark, d):
-    """All pairs of conditions with the reference's number of resamples. The SQL draws 200 for some of them by a biased
-    formula and gives other rows."""
+    """All pairs of conditions, 10,000 resamples each; multinomial draws have no SQL."""
     rows = last(spark, d)
     x, y = rows.select(F.col("condition").alias("ga"), "i", F.col("correct").alias("a")), rows.select(F.col("condition").alias("gb"), "i", F.col("correct").alias("b"))
     out = st.bootstrap(x.join(y, "i").where("ga < gb"), ["ga", "gb"], reps=10_000)

@@ -22,3 +22,15 @@ def p5_nodes(spark, d):
 @R.add("p5_tables")
 def p5_tables(spark, d):
     return nested.tables(nested.nodes(table(spark, d, "tool_catalog"), "tool_id", "parameters"), "tool_id")
+
+
+@R.add("p5_parameters")
+def p5_parameters(spark, d):
+    """The flat table of all parameters, with typed columns."""
+    return nested.schema_parameters(table(spark, d, "tool_catalog"), "tool_id", "parameters")
+
+
+@R.add("p5_records")
+def p5_records(spark, d):
+    """The rows of the flat tables of all schema paths, linked to the rows around them."""
+    return nested.records(table(spark, d, "tool_catalog"), "tool_id", "parameters")

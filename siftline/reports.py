@@ -1,4 +1,4 @@
-"""Small tables as text: metric comparisons, lint findings, failures, run summaries. All input is a few rows."""
+"""Tables as text: metric comparisons, lint findings, failures, run summaries. All rows are shown, so a report is as long as its table."""
 
 from __future__ import annotations
 
@@ -6,9 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-LIMIT = 1_000
-
-
 def text_table(rows: Sequence[dict], columns: Sequence[str] | None = None) -> str:
     """Aligned columns; no rows give an empty text."""
     if not rows:
@@ -28,11 +25,12 @@ def markdown(rows: Sequence[dict], columns: Sequence[str] | None = None) -> str:
 
 
 def collect(df: DataFrame, order: Sequence[str] = ()) -> list[dict]:
-    return [r.asDict(recursive=True) for r in (df.orderBy(*order) if order else df).limit(LIMIT).collect()]
+    """All rows; they come to the driver partition by partition."""
+    return [r.asDict(recursive=True) for r in (df.orderBy(*order) if order else df).toLocalIterator()]
 
 
 def lint_text(found: DataFrame) -> tuple[str, int]:
-    """All findings' counts and the first of them; and the number of errors."""
+    """All findings' counts and all findings; and the number of errors."""
     counts = {(r.severity, r.rule): r["count"] for r in found.groupBy("severity", "rule").count().collect()}
     errors = sum(n for (s, _), n in counts.items() if s == "error")
     shown = collect(found, ("severity", "line", "rule"))

@@ -11,7 +11,7 @@ import sys
 from collections.abc import Callable, Sequence
 from typing import IO
 
-from siftline.operators.catalog import Catalog
+from siftline.operators.catalog import SEARCH_TOOL, Catalog
 from siftline.sources.servers import Session
 
 SEARCH, CALL = "search_tools", "call_tool"
@@ -30,17 +30,17 @@ class Proxy:
         self.catalog, self.owners, self.mode, self.k = catalog, owners, mode, k
         self.pinned, self.found = [n for n in pinned if n in owners], []
 
-    def definition(self, name: str) -> dict:
-        row = self.catalog.get(name)
-        return {"name": name, "description": row["description"], "inputSchema": json.loads(row["parameters"])}
+    def definitions(self, names: Sequence[str]) -> list[dict]:
+        """The listed form of rows; one read for all of them."""
+        return [{"name": n, "description": r["description"], "inputSchema": json.loads(r["parameters"])} for n, r in self.catalog.lookup(names).items()]
 
     def listed(self) -> list[dict]:
-        search = Catalog.SEARCH_TOOL
+        search = SEARCH_TOOL
         first = {"name": SEARCH, "description": search["description"], "inputSchema": search["parameters"]}
         if self.mode == "search":
             return [first, CALL_TOOL]
         # reserved names shadow tools of the same name
-        return [first, *(self.definition(n) for n in dict.fromkeys([*self.pinned, *self.found]) if n != SEARCH)]
+        return [first, *self.definitions([n for n in [*self.pinned, *self.found] if n != SEARCH])]
 
     def call(self, name: str, arguments: dict) -> tuple[object, bool]:
         """The result, and whether the list of tools has changed."""
@@ -48,7 +48,7 @@ class Proxy:
             names = [r["id"] for r in self.catalog.search(arguments["query"], int(arguments.get("k", self.k)))]
             changed = self.mode == "dynamic" and names != self.found
             self.found = names
-            return [self.definition(n) for n in names], changed
+            return self.definitions(names), changed
         if name == CALL and self.mode == "search":
             name, arguments = arguments["name"], arguments.get("arguments") or {}
         if name not in self.owners:

@@ -8,6 +8,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.session import materialise, numbered
+
 CASE = "query string, expected string, kind string, server string, status string, target_original_name string, confused_with string, also_accept array<string>, review_note string, original_query string"
 RUN = (
     "condition string, i bigint, query string, kind string, server string, expected array<string>, also_accept array<string>, n_tools bigint, retrieved bigint, tool string, correct bigint, "
@@ -34,9 +36,9 @@ def read_cases(spark: SparkSession, path: str, allow_draft: bool = False) -> Dat
     not know are ignored.
     """
     lines = spark.read.text(path).where("trim(value) <> ''")
-    # the place of a line is that of the file, so lines are numbered where they are read, partition by partition
-    numbered = lines.rdd.zipWithIndex().map(lambda x: (x[1], x[0].value)).toDF("uid bigint, value string")
-    rows = numbered.select("uid", F.from_json("value", CASE).alias("c")).select("uid", "c.*").withColumn("expected", as_list("expected"))
+    # the place of a line is that of its file, of its block there and of it in the block
+    placed = lines.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+    rows = numbered(placed, "_file", "_block", "_line").select("uid", F.from_json("value", CASE).alias("c")).select("uid", "c.*").withColumn("expected", as_list("expected"))
     return filter_status(rows, allow_draft)
 
 
@@ -62,10 +64,24 @@ def write_runs(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("condition").parquet(path)
 
 
+def read_cache(spark: SparkSession, path: str | None) -> DataFrame:
+    """The cache ``(k, v)`` in a folder; an empty one if there is none yet. What is read is copied, so the folder may be appended to."""
+    schema = "k string, v string"
+    if not path:
+        return spark.createDataFrame([], schema)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], schema)
+    return materialise(spark.read.schema(schema).parquet(path), "cache")
+
+
 def write_scores(df: DataFrame, path: str) -> None:
-    """A metric table, which is a few rows, as one JSON file."""
+    """A metric table as one JSON list, all of its rows, written as they arrive."""
     with open(path, "w", encoding="utf-8") as f:
-        json.dump([r.asDict(recursive=True) for r in df.limit(10_000).collect()], f, indent=2)
+        f.write("[")
+        for i, r in enumerate(df.toLocalIterator()):
+            f.write((",\n" if i else "\n") + json.dumps(r.asDict(recursive=True)))
+        f.write("\n]")
 
 
 def merge_summary(old: dict, new: dict, limit: int | None) -> dict:

@@ -71,10 +71,10 @@ def catalog_rows(raw: DataFrame, servers: DataFrame, collected_at: Column | None
 
 
 class Session:
-    """A server process spoken to in JSON-RPC over its standard streams."""
+    """A server process spoken to in JSON-RPC over its standard streams; every request has ``timeout`` seconds of its own."""
 
     def __init__(self, server: dict, timeout: float = 120.0):
-        self.deadline = time.monotonic() + timeout
+        self.timeout = timeout
         env = {**os.environ, **(server.get("env") or {})}
         self.process = subprocess.Popen([server["command"], *server.get("args", [])], env=env, stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL)
         self.buffer, self.n = b"", 0
@@ -89,9 +89,9 @@ class Session:
         self.process.stdin.write(json.dumps(message).encode() + b"\n")
         self.process.stdin.flush()
 
-    def line(self) -> bytes:
+    def line(self, deadline: float) -> bytes:
         while b"\n" not in self.buffer:
-            left = self.deadline - time.monotonic()
+            left = deadline - time.monotonic()
             if left <= 0 or not select.select([self.process.stdout], [], [], left)[0]:
                 raise TimeoutError("the server did not answer in time")
             more = os.read(self.process.stdout.fileno(), 1 << 16)
@@ -103,9 +103,10 @@ class Session:
 
     def request(self, method: str, params: dict) -> dict:
         self.n += 1
+        deadline = time.monotonic() + self.timeout
         self.send({"jsonrpc": "2.0", "id": self.n, "method": method, "params": params})
         while True:
-            line = self.line()
+            line = self.line(deadline)
             if not line.strip():
                 continue
             answer = json.loads(line)

@@ -14,9 +14,10 @@ TABLES = ("rows", "postings", "lengths", "vectors")
 class IndexStore:
     """The index as versioned Parquet tables in a folder all executors share.
 
-    A version is written beside the last one and becomes current by a pointer file, so a reader always sees a whole
-    version and a failed job leaves the last one in place. A version belongs to a batch of the stream: a batch that runs
-    again after a failure changes nothing.
+    A version is written beside the last one and becomes current when its marker file is there: the marker of the highest
+    number counts, and none is ever moved or overwritten, so a reader always sees a whole version and a job that fails at
+    any point leaves the last one in place. Then all versions before the last but one are removed, with their markers. A
+    version belongs to a batch of the stream: a batch that runs again after a failure changes nothing.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -25,30 +26,26 @@ class IndexStore:
         self._fs_path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
         self._fs = self._fs_path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _pointer(self) -> str | None:
-        p = self._fs_path(f"{self.path}/current")
-        if not self._fs.exists(p):
-            return None
-        return self.spark.read.text(f"{self.path}/current").first().value
+    def batches(self) -> list[int]:
+        """The numbers of the whole versions, in order."""
+        found = self._fs.globStatus(self._fs_path(f"{self.path}/whole-*"))
+        return sorted(int(x.getPath().getName().split("-")[1]) for x in found or [])
 
     def read(self) -> dict[str, DataFrame] | None:
-        version = self._pointer()
-        return None if version is None else {t: self.spark.read.parquet(f"{self.path}/{version}/{t}") for t in TABLES}
+        known = self.batches()
+        return {t: self.spark.read.parquet(f"{self.path}/batch-{known[-1]}/{t}") for t in TABLES} if known else None
 
     def write(self, tables: dict[str, DataFrame], batch: int) -> None:
-        version = f"batch-{batch}"
         for t in TABLES:
-            tables[t].write.mode("overwrite").parquet(f"{self.path}/{version}/{t}")
-        fresh, current = self._fs_path(f"{self.path}/next-{batch}"), self._fs_path(f"{self.path}/current")
-        out = self._fs.create(fresh, True)
-        out.write(bytearray(version.encode()))
-        out.close()
-        self._fs.delete(current, False)
-        self._fs.rename(fresh, current)
+            tables[t].write.mode("overwrite").parquet(f"{self.path}/batch-{batch}/{t}")
+        self._fs.create(self._fs_path(f"{self.path}/whole-{batch}"), True).close()
+        for old in self.batches()[:-2]:  # the last but one may still be read
+            self._fs.delete(self._fs_path(f"{self.path}/whole-{old}"), False)
+            self._fs.delete(self._fs_path(f"{self.path}/batch-{old}"), True)
 
     def done(self, batch: int) -> bool:
-        version = self._pointer()
-        return version is not None and int(version.split("-")[1]) >= batch
+        known = self.batches()
+        return bool(known) and known[-1] >= batch
 
 
 def apply_changes(store: IndexStore, changes: DataFrame, batch: int) -> None:
@@ -59,7 +56,7 @@ def apply_changes(store: IndexStore, changes: DataFrame, batch: int) -> None:
     """
     if store.done(batch):
         return
-    last = changes.groupBy("name").agg(F.max_by(F.struct("text", "hash", "removed"), "seq").alias("x")).select(F.col("name").alias("id"), "x.*").persist()
+    last = changes.groupBy("name").agg(F.max_by(F.struct("text", "hash", "removed"), "seq").alias("x")).select(F.col("name").alias("id"), "x.*")
     now = store.read()
     if now is not None:
         same = last.join(now["rows"].select("id", F.col("hash").alias("before")), "id").where("not removed and hash = before").select("id")

@@ -92,7 +92,24 @@ def test_random_subset(spark):
     assert {"t3", "t4"} <= set(by[0]) and "t5" in by[2] and by[0] != by[1]
     assert sorted(got) == sorted(cg.random_subset(cases, catalog.orderBy(F.desc("name")), 6).collect())
     assert cg.random_subset(cases, catalog, 30).count() == 90
-
+    # exactly n for every case and size, also where the catalog is hardly larger; expected rows beyond n are kept
+    for size in (1, 5, 6, 7, 8, 24, 25, 29):
+        for n in (1, 4, 6):
+            some = spark.createDataFrame([(q, [f"t{(q + k) % 30}" for k in range(q % 4)] + [None] * (q % 2)) for q in range(40)] + [(40, None)], "query_id bigint, expected array<string>")
+            got = [(r.query_id, r.name) for r in cg.random_subset(some, catalog.where(F.substring("name", 2, 9).cast("int") < size), n).collect()]
+            assert len(set(got)) == len(got)
+            known = {q: {x for k in range(q % 4) if int((x := f"t{(q + k) % 30}")[1:]) < size} for q in range(40)} | {40: set()}
+            for q in range(41):
+                names = {name for p, name in got if p == q}
+                assert known[q] <= names and len(names) == max(min(n, size), len(known[q]))
+    assert cg.random_subset(cases, catalog.limit(0), 5).count() == 0
+
+
+def test_random_subset_shows_all_names_alike(spark):
+    catalog = spark.createDataFrame([(f"t{i:02}",) for i in range(30)], "name string")
+    cases = spark.range(3000).selectExpr("id as query_id", "cast(array() as array<string>) as expected")
+    times = [r["count"] for r in cg.random_subset(cases, catalog, 6).groupBy("name").count().collect()]
+    assert len(times) == 30 and min(times) > 480 and max(times) < 720  # 600 on average
 
 def test_conditions_and_costs(spark):
     assert cg.parse_condition("all@10") == ("all", "10")

@@ -155,3 +155,16 @@ def test_comparison_matrix_skips_missing_runs(spark):
 def test_last_record_counts(spark):
     r = spark.createDataFrame([("a", 0, 0, 1), ("a", 0, 1, 2)], "condition string, i bigint, correct bigint, rec_id bigint")
     assert st.last_per_query(r).first().correct == 1
+
+
+def test_binomial_tail_of_large_counts():
+    from math import erfc, sqrt
+
+    from siftline.operators.stats import binomial_tail
+
+    for n, m in ((2_000, 900), (10**6, 499_000), (10**10, 5 * 10**9 - 60_000), (10**9, 0)):
+        z = (n / 2 - m - 0.5) / sqrt(n / 4)
+        want = erfc(z / sqrt(2)) / 2
+        assert abs(binomial_tail(n, m) - want) <= 0.03 * want + 1e-300
+    exact = sum(__import__("math").comb(2_000, j) for j in range(901)) / 2**2000
+    assert abs(binomial_tail(2_000, 900) - exact) < 1e-9 * exact

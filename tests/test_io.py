@@ -1,16 +1,24 @@
 import json
+import os
 import sys
 import textwrap
+import threading
+import time
+import uuid
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from typing import Literal, Optional
 
 import pytest
 from pyspark.sql import functions as F
 
 from siftline import adapters, factories, reports
+from siftline.operators import casegen as cg
 from siftline.operators import index as ix
 from siftline.operators import nested
+from siftline.operators import rerank as rr
 from siftline.operators.catalog import Catalog
 from siftline.serve import Proxy, start_upstreams
+from siftline.session import clean, materialise, numbered, shared_dir
 from siftline.sources import files, formats, functions, servers
 from siftline.streaming.delta import IndexStore, apply_changes, follow
 
@@ -153,6 +161,96 @@ def test_proxy(spark, configs):
             session.close()
 
 
+def test_every_request_has_its_own_time(configs):
+    with servers.Session(configs[0], 1.5) as session:
+        for _ in range(3):
+            time.sleep(0.8)
+            assert session.call("echo.it", {"t": "hi"}) == "hi"
+
+
+SLOW = "import time\nfor line in __import__('sys').stdin:\n    time.sleep(60)\n"
+
+
+def test_a_silent_server_runs_out_of_time(tmp_path):
+    (tmp_path / "slow.py").write_text(SLOW)
+    with pytest.raises(TimeoutError):
+        servers.Session({"name": "x", "command": sys.executable, "args": [str(tmp_path / "slow.py")]}, 0.5)
+
+
+def test_a_draft_pays_once(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def complete(prompt):
+        (calls / uuid.uuid4().hex).write_text(prompt)
+        return None if "bad" in prompt else prompt.upper()
+
+    asked = spark.createDataFrame([("a", "one"), ("b", "one"), ("c", "bad"), ("d", "two")], "name string, prompt string")
+    cache = str(tmp_path / "cache")
+    got, fresh = cg.replies(asked, files.read_cache(spark, cache), complete, "m")
+    assert len(list(calls.iterdir())) == 3
+    fresh.write.mode("append").parquet(cache)
+    for _ in range(2):
+        assert {r.name: r.reply for r in got.collect()} == {"a": "ONE", "b": "ONE", "c": None, "d": "TWO"}
+    assert len(list(calls.iterdir())) == 3
+    got, fresh = cg.replies(asked, files.read_cache(spark, cache), complete, "m")
+    assert fresh.count() == 0 and {r.reply for r in got.collect()} == {"ONE", "TWO", None} and len(list(calls.iterdir())) == 4  # only what failed
+    assert files.read_cache(spark, None).count() == 0
+
+
+def test_requests_are_sent_and_errors_surface(spark):
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = self.rfile.read(int(self.headers["Content-Length"])).decode()
+            if "slow" in body:
+                time.sleep(2)
+            self.send_response(503 if "bad" in body else 200)
+            self.end_headers()
+            self.wfile.write(b"overloaded" if "bad" in body else json.dumps({"got": body, "key": self.headers["Authorization"]}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        send = rr.http_sender(f"http://127.0.0.1:{server.server_port}/", "k", 0.7)
+        bodies = spark.createDataFrame([(1, "{}"), (2, "bad"), (3, "slow"), (4, None)], "query_id bigint, body string")
+        got = {r.query_id: (r.body, r.error) for r in rr.send_requests(bodies, send).collect()}
+    finally:
+        server.shutdown()
+    assert json.loads(got[1][0]) == {"got": "{}", "key": "Bearer k"} and got[1][1] is None
+    assert got[2] == (None, "HTTP 503: overloaded") and got[3][0] is None and "no answer" in got[3][1] and got[4] == (None, None)
+
+
+def test_reports_and_scores_have_all_rows(spark, tmp_path):
+    many = spark.range(0, 12_000, 1, 3).selectExpr("id as line", "'error' as severity", "'r' as rule", "'x' as detail")
+    assert len(reports.collect(many, ("line",))) == 12_000
+    text, errors = reports.lint_text(many)
+    assert errors == 12_000 and len(text.splitlines()) == 12_002
+    files.write_scores(many, str(tmp_path / "m.json"))
+    assert len(json.loads((tmp_path / "m.json").read_text())) == 12_000
+    files.write_scores(many.limit(0), str(tmp_path / "n.json"))
+    assert json.loads((tmp_path / "n.json").read_text()) == []
+
+
+def test_rows_are_numbered_in_order(spark):
+    df = spark.range(1000, 0, -1, 7).selectExpr("id", "id % 10 as k")
+    got = numbered(df, "k", "id").collect()
+    assert sorted((r.uid, r.k, r.id) for r in got) == [(i, k, x) for i, (k, x) in enumerate(sorted((x % 10, x) for x in range(1, 1001)))]
+    assert numbered(df.limit(0), "id").count() == 0
+
+
+def test_written_tables_are_deleted_when_asked(spark):
+    t = materialise(spark.range(5).toDF("id"))
+    assert t.count() == 5
+    folder = shared_dir(spark).removeprefix("file://")
+    assert os.path.isdir(folder)
+    clean(spark)
+    assert not os.path.isdir(folder)
+    assert materialise(spark.range(5).toDF("id")).count() == 5
+
+
 def test_adapters(spark):
     c = Catalog(spark)
 
@@ -207,6 +305,12 @@ def test_stream_of_changes_equals_rebuild(spark, tmp_path):
     assert sorted(r.id for r in now["lengths"].collect()) == ["a", "b", "d"]
     apply_changes(store, spark.createDataFrame([("z", "x", "9", False, 9)], CHANGES), 1)  # a batch that runs again
     assert store.read()["rows"].count() == 3
+    # a version without its marker is not there: a job that failed before the end
+    (tmp_path / "index" / "batch-7").mkdir()
+    assert store.read()["rows"].count() == 3 and store.batches() == [0, 1]
+    for n in (2, 3):
+        apply_changes(store, spark.createDataFrame([(f"z{n}", "x", "9", False, 9)], CHANGES), n)
+    assert store.batches() == [2, 3] and store.read()["rows"].count() == 5 and not (tmp_path / "index" / "batch-0").exists()
 
 
 SCHEMAS = [
@@ -225,7 +329,7 @@ def test_schema_parameters(spark):
     assert nested.schema_parameters(twice, "tool_id", "parameters").count() == 2 and nested.schema_parameters(twice, "tool_id", "parameters", True).count() == 1
 
 
-def test_nodes_rebuild_the_document(spark):
+def test_nodes_rebuild_the_document(spark, tmp_path):
     doc = {"a": [1, {"b": None, "c": [True, "x"]}, []], "d/e": {}, "f": 1.5, "g": "é"}
     rows = nested.nodes(spark.createDataFrame([(1, json.dumps(doc)), (2, "{"), (3, '"x"')], "id bigint, j string"), "id", "j").collect()
     assert {r.id for r in rows} == {1}  # a string that holds no JSON is damaged
@@ -245,9 +349,45 @@ def test_nodes_rebuild_the_document(spark):
     labelled = nested.nodes(spark.createDataFrame([(1, json.dumps(doc)), (2, json.dumps(doc))], "id bigint, j string"), "id", "j")
     paths = {r.schema_path: (r.n_rows, r.n_documents) for r in nested.tables(labelled, "id").collect()}
     assert paths["$/a[]"] == (6, 2) and paths["$/a[]/c[]"] == (4, 2) and paths["$/d~1e"] == (2, 2)
-    assert nested.table_of(labelled, "id", "$/a[]").count() == 6
+    rows = nested.records(spark.createDataFrame([(1, json.dumps(doc)), (2, json.dumps(doc))], "id bigint, j string"), "id", "j")
+    got = sorted((r.schema_path, r.dewey, r.parent_dewey, r.position, tuple(sorted((k, v) for k, v in r.fields.items()))) for r in rows.where("id = 1").collect())
+    assert got == [("$", "1", None, None, (("f", "1.5"), ("g", "é"))), ("$/a[]", "1.1.1", "1", 0, (("", "1"),)), ("$/a[]", "1.1.2", "1", 1, (("b", None),)), ("$/a[]/c[]", "1.1.2.2.1", "1.1.2", 0, (("", "true"),)), ("$/a[]/c[]", "1.1.2.2.2", "1.1.2", 1, (("", "x"),)), ("$/d~1e", "1.2", "1", None, ())]
+    flat = nested.table_of(rows, "id", "$", {"f": "double", "g": "string", "gone": "int"}).where("id = 2").first()
+    assert (flat.f, flat.g, flat.gone, flat.dewey) == (1.5, "é", None, "1")
+    out = str(tmp_path / "tables")
+    nested.write_tables(rows, out)
+    assert spark.read.parquet(out).where("schema_path = '$/a[]/c[]'").count() == 4
+
+
+def test_parameters_have_typed_columns(spark):
+    doc = '{"required":["a",5],"properties":{"a":{"type":["string","null"],"description":"x","enum":["p",1,null],"default":{"k":[]}},"b":true,"c":{"type":7,"description":[]}}}'
+    got = {r.name: r for r in nested.schema_parameters(spark.createDataFrame([(1, doc)], "id bigint, j string"), "id", "j").collect()}
+    assert (got["a"].type, got["a"].description, got["a"].required, got["a"].default_json, got["a"].enum) == ("string|null", "x", True, '{"k":[]}', ["p", "1", "null"])
+    assert all((got[n].type, got[n].description, got[n].required, got[n].default_json, got[n].enum) == (None, None, False, None, None) for n in "bc")
 
 
-def test_deep_documents_do_not_fail(spark):
+def test_documents_of_any_depth(spark):
+    """100,000 arrays in one another: nodes down to the depth of the longest label, with the rest as text."""
     deep = "[" * 100_000 + "]" * 100_000
-    assert nested.nodes(spark.createDataFrame([(1, deep), (2, "[[1]]")], "id bigint, j string"), "id", "j").where("id = 2").count() == 3
+    assert nested.dumps(nested.loads(deep)) == deep
+    rows = nested.nodes(spark.createDataFrame([(1, deep), (2, "[[1]]"), (3, deep[:-1]), (4, deep + "]")], "id bigint, j string"), "id", "j")
+    got = {r.id: (r.n, r.deepest) for r in rows.groupBy("id").agg(F.count("*").alias("n"), F.max("depth").alias("deepest")).collect()}
+    assert got == {1: (nested.MAX_DEPTH, nested.MAX_DEPTH), 2: (3, 3)}
+    last = rows.where(f"id = 1 and depth = {nested.MAX_DEPTH}").first()
+    assert last.value == "[" * (100_001 - nested.MAX_DEPTH) + "]" * (100_001 - nested.MAX_DEPTH) and last.kind == "array"
+    # every parameter, at any depth
+    n = 3_000
+    schema = '{"properties":{"p":' * n + "{}" + "}}" * n
+    found = nested.schema_parameters(spark.createDataFrame([(1, schema)], "id bigint, j string"), "id", "j")
+    assert found.count() == n and found.agg(F.max(F.length("node_path"))).first()[0] == 2 * n
+    assert nested.records(spark.createDataFrame([(1, schema), (2, None), (3, "")], "id bigint, j string"), "id", "j").where("id > 1").count() == 0
+
+
+def test_the_explicit_parser_reads_what_the_usual_one_reads():
+    for text in ('{"a": [1, -2.5e3, true, false, null, "\\u00e9\\n", {}, [ ]], "b" : {"c":{"d":[[]]}}, "a": 2}', " 7 ", '"x"', "[]", "{}", "NaN", "[-Infinity]"):
+        assert repr(nested._loads_deep(text)) == repr(json.loads(text))
+    for text in ("", "{", "[1,]", '{"a"}', '{"a":1,}', "[1 2]", "[1}", "01", "tru", '{a:1}', '["x]', "[]]"):
+        with pytest.raises(ValueError):
+            nested._loads_deep(text)
+    odd = {"k": ["é", 1.5, {"x": []}, None, True], "": {}}
+    assert json.loads(nested.dumps(odd)) == odd

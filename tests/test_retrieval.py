@@ -221,8 +221,8 @@ class TestCatalog:
             c.get("nothing")
         tool = c.tools_for("weather forecast", 1)[0]
         assert tool["function"]["name"] == "get_weather" and tool["function"]["parameters"]["required"] == ["city"]
-        assert c.handle_search('{"query": "weather forecast", "k": 1}', "mcp")[0]["name"] == "get_weather"
-        assert c.select("weather forecast")["pick"] == "get_weather"
+        assert c.answer_search('{"query": "weather forecast", "k": 1}', "mcp")[0]["name"] == "get_weather"
+        assert c.best("weather forecast")["pick"] == "get_weather"
         path = str(tmp_path / "c.json")
         c.save(path)
         d = Catalog(spark)
