@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from siftline.llm import duplicates, neighbours, packing, spans
@@ -28,7 +29,9 @@ def brute_spans(rows, least):
     return out
 
 
-def test_spans_are_those_of_brute_force(spark):
+@pytest.mark.parametrize("group_blocks", [spans.GROUP_BLOCKS, 2])
+def test_spans_are_those_of_brute_force(spark, monkeypatch, group_blocks):
+    monkeypatch.setattr(spans, "GROUP_BLOCKS", group_blocks)
     rng = random.Random(5)
     pool = ["".join(rng.choice("abcé 日") for _ in range(n)) for n in (30, 60, 85, 120, 200, 79, 80, 81)]
     rows = []
@@ -50,6 +53,27 @@ def test_spans_of_little(spark):
     assert got == {("a", 1, "f", 100, 200), ("a", 2, "f", 2, 102)}
 
 
+def test_a_passage_quoted_by_many_in_different_surroundings(spark, monkeypatch):
+    """Every record has the passage between texts of its own: its first and last blocks differ in each of them."""
+    monkeypatch.setattr(spans, "GROUP_BLOCKS", 20)
+    rng = random.Random(9)
+    word = lambda k: "".join(rng.choices("abcdefghij ", k=k))
+    passage = word(150)
+    rows = [("a", i, "f", word(60) + passage + word(60)) for i in range(60)] + [("b", i, "f", word(200)) for i in range(30)]
+    assert {tuple(r) for r in spans.shared_stretches(spark.createDataFrame(rows, RECORDS)).collect()} == brute_spans(rows, 80)
+
+
+def test_greedy_factors():
+    a, b, c = "x" * 3 + "0123456789" * 2 + "y" * 3, "zz0123456789012345678", "45678901234yyy"
+    blocks = [(a, 1, 1), (b, 2, 2), (c, 3, 3), (a[:12], 1, 1), ("q" * 12, 5, 9)]
+    got = sorted(spans.factor(blocks, 10))
+    windows = lambda k: {w for j, s, e in got if j == k for w in range(s, e + 1)}
+    for k, (x, lo, hi) in enumerate(blocks[:4]):
+        want = {w for w in range(len(x) - 9) if any(x[w : w + 10] in y and (l2, h2) != (lo, hi) for y, l2, h2 in blocks)}
+        assert windows(k) == want
+    assert spans.match("abcde", 1, "xbcdf", 1) == 3 and spans.match("ab", 0, "ab", 0) == 2 and spans.match("a", 0, "b", 0) == 0
+
+
 def test_formatting_differences(spark):
     rows = [
         (1, "Pull 44, Badges!", ["a__b", "c"]), (2, "pull 44 badges", ["C", "A_B", "c"]), (3, "pull 44 badges", ["c"]), (4, "PULL\xad 44​badges", ["a__b", None, "c"]),
