@@ -32,7 +32,7 @@ from siftline.session import materialise
 
 LEAST = 80
 GRAM = 24
-GROUP_BLOCKS = 2_000
+GROUP_BLOCKS = 5_000
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _CHUNK_CHARS = 1 << 20
 

@@ -80,12 +80,52 @@ def test_formatting_differences(spark):
         (5, None, ["c"]), (6, " ?! ", ["c"]), (7, "x", None), (8, "X.", []), (9, "x", ["y"]), (7, "x", None),
     ]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "id bigint, query string, expected array<string>, root string")
-    marked = duplicates.with_digests(df, F.col("query"), F.col("expected")).withColumn("tab", F.lit("t"))
+    marked = duplicates.with_digests(df, {"query": F.col("query"), "expected": F.col("expected")}, named=duplicates.has_query).withColumn("tab", F.lit("t"))
     assert sorted((r.keep_id, r.copy_id) for r in duplicates.copies(marked, ["tab"], "id").collect()) == [(1, 2), (1, 4), (7, 8)]
     assert sorted((r.keep_id, r.n_copies) for r in duplicates.groups(marked, ["tab"], "id").collect()) == [(1, 3), (3, 1), (7, 3), (9, 1)]
     assert duplicates.copies(marked.limit(0), ["tab"], "id").count() == 0
 
 
+NESTED = "id int, r struct<name:string,tags:array<string>,steps:array<struct<do:string,n:int>>,meta:map<string,string>,inner:struct<x:double,y:array<array<string>>>>"
+
+
+def test_nested_records_of_any_shape(spark):
+    base = ("Ab c", ["x", "Y"], [("go", 1), ("stop", 2)], {"k": "V", "l": "W"}, (1.5, [["a", "b"], ["c"]]))
+    same = ("aB-C!", ["y", "X", "x", None], [("GO", 1), ("s top", 2)], {"L": "w", "K": "v"}, (1.5, [["C"], ["B.", "a"]]))
+    other = [
+        ("Ab d", *base[1:]), (base[0], ["x"], *base[2:]), (*base[:2], [("stop", 2), ("go", 1)], *base[3:]), (*base[:2], [("go", 2), ("stop", 1)], *base[3:]),
+        (*base[:3], {"k": "W", "l": "V"}, base[4]), (*base[:4], (2.5, base[4][1])), (*base[:4], (1.5, [["a"], ["b", "c"]])), (*base[:4], None), (None, *base[1:]), (base[0], None, *base[2:]),
+    ]
+    df = spark.createDataFrame([(1, base), (2, same), *((10 + i, o) for i, o in enumerate(other)), (30, None), (31, None), (40, (base[0], [], *base[2:]))], NESTED)
+    marked = duplicates.with_digests(df, {"r": F.col("r")}, ordered=["r.steps"]).withColumn("tab", F.lit("t"))
+    assert sorted((r.keep_id, r.copy_id) for r in duplicates.copies(marked, ["tab"], "id").collect()) == [(1, 2), (19, 40), (30, 31)]
+    loose = duplicates.with_digests(df, {"r": F.col("r")}).withColumn("tab", F.lit("t"))
+    assert (1, 12) in {(r.keep_id, r.copy_id) for r in duplicates.copies(loose, ["tab"], "id").collect()}  # steps in another order
+
+
+def test_a_class_of_a_third_of_all_rows_is_split(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "LEAST_HOT", 500)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        text = F.when(F.col("id") % 3 == 0, F.lit("the hot one")).otherwise(F.concat(F.lit("no "), (F.col("id") / 2).cast("int").cast("string")))
+        df = spark.range(0, 30_000, 1, 12).withColumn("query", text).withColumn("tab", F.lit("t"))
+        marked = duplicates.with_digests(df, {"query": F.col("query")})
+        rows = duplicates.copies(marked, ["tab"], "id").withColumn("task", F.spark_partition_id()).collect()
+        hot = [r for r in rows if r.keep_id == 0]
+        assert len(hot) == 9_999 and len({r.copy_id for r in hot}) == 9_999
+        tasks = {}
+        for r in hot:
+            tasks[r.task] = tasks.get(r.task, 0) + 1
+        assert len(tasks) >= 6 and max(tasks.values()) < 5_000
+        pairs = {}
+        for i in range(30_000):
+            if i % 3:
+                pairs.setdefault(i // 2, []).append(i)
+        assert {(r.keep_id, r.copy_id) for r in rows if r.keep_id} == {(min(v), x) for v in pairs.values() for x in v if x != min(v)}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_case_lines(spark):
     rows = [(1, '{"query": "a", "expected": "x"}'), (2, '{"query":"A!","expected":["X"]}'), (3, '{"query": "a"'), (4, "[1]"), (5, None), (6, '{"query": 5, "expected": {"a": 1}}'), (7, ""), (8, '{"query":"b","expected":[1,null,"z"]}')]
     got = {r.line_id: (r.query, r.expected) for r in duplicates.parse_cases(spark.createDataFrame(rows, "line_id bigint, line string"), "line_id", "line").collect()}
