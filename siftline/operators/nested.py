@@ -126,17 +126,23 @@ def parse_json(text: str | None, twice: bool = True):
     return True, value
 
 
-def walk(value, most: int | None = None) -> Iterator[tuple]:
+def walk(value, most: int | None = None, texts: bool = True) -> Iterator[tuple]:
     """Nodes in document order: Dewey label, depth, key or None, array position or None, schema path, kind, text, the node itself.
 
-    The text is a scalar's value, or the JSON of an object or array at depth ``most``, below which there are no nodes.
+    The text is a scalar's value, or the JSON of an object or array at depth ``most``, below which there are no nodes; null
+    without ``texts``.
     """
     stack = [("1", 1, None, None, "$", value)]
     while stack:
         dewey, depth, name, position, path, v = stack.pop()
         kind = _KINDS[type(v)]
         inner = v if kind in ("object", "array") and depth != most else ()
-        text = None if kind == "null" or inner or v in ({}, []) and depth != most else v if kind == "string" else dumps(v) if kind in ("object", "array") else json.dumps(v)
+        if not texts or kind == "null":
+            text = None
+        elif kind in ("object", "array"):
+            text = dumps(v) if depth == most else None
+        else:
+            text = v if kind == "string" else json.dumps(v)
         yield dewey, depth, name, position, path, kind, text, v
         if not inner:
             continue
@@ -253,10 +259,11 @@ def write_tables(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").partitionBy("schema_path").parquet(path)
 
 
-_PARAMETER = "node_path string, parent_path string, dewey string, parent_dewey string, kind string, name string, type string, description string, required boolean, default_json string, enum array<string>"
+_LINKS = "node_path string, parent_path string, dewey string, parent_dewey string, kind string"
+_PARAMETER = _LINKS + ", name string, type string, description string, required boolean, default_json string, enum array<string>"
 
 
-def schema_parameters(df: DataFrame, id_col: str, json_col: str, first_only: bool = False) -> DataFrame:
+def schema_parameters(df: DataFrame, id_col: str, json_col: str, first_only: bool = False, details: bool = True) -> DataFrame:
     """The parameters of JSON Schemas at any depth, as one flat table: ``(id_col, node_path, parent_path, dewey, parent_dewey,
     kind, name, type, description, required, default_json, enum)``.
 
@@ -266,17 +273,18 @@ def schema_parameters(df: DataFrame, id_col: str, json_col: str, first_only: boo
     by cutting the label. Texts that do not parse, whose root is no object, or whose root has another ``type`` than
     ``object`` have no rows. Two entries of one path (in two lists of alternatives) are one row each, or one row with
     ``first_only``. Several types are joined by ``|``; ``required`` says whether the schema around it lists it; optional
-    fields that are missing or of another kind than JSON Schema has them are null.
+    fields that are missing or of another kind than JSON Schema has them are null. Without ``details`` the columns end with
+    ``kind``.
     """
 
     def rows_of(text: str | None) -> Iterator[tuple]:
         ok, root = parse_json(text)
         if not ok or not isinstance(root, dict) or root.get("type", "object") != "object":
             return iter(())
-        found = _parameters(root)
+        found = _parameters(root, details)
         return iter({x[:2]: x for x in reversed(list(found))}.values()) if first_only else found
 
-    return _flat(df.select(df[id_col].alias("id"), df[json_col].alias("text")), _PARAMETER, rows_of).withColumnRenamed("id", id_col)
+    return _flat(df.select(df[id_col].alias("id"), df[json_col].alias("text")), _PARAMETER if details else _LINKS, rows_of).withColumnRenamed("id", id_col)
 
 
 def _details(name: str, value, around: dict) -> tuple:
@@ -290,13 +298,13 @@ def _details(name: str, value, around: dict) -> tuple:
     )
 
 
-def _parameters(root: dict) -> Iterator[tuple]:
+def _parameters(root: dict, details: bool) -> Iterator[tuple]:
     """Walks the labelled nodes once; a node's role follows from its parent's role and its key."""
     schema: dict[str, tuple[str, dict]] = {"1": ("", root)}
     properties: dict[str, tuple[str, dict]] = {}
     alternatives: dict[str, str] = {}
     entry: dict[str, str] = {}
-    for dewey, _, name, position, _, kind, _, v in walk(root):
+    for dewey, _, name, position, _, kind, _, v in walk(root, texts=False):
         if dewey == "1":
             continue
         parent = dewey[: dewey.rindex(".")]
@@ -307,7 +315,7 @@ def _parameters(root: dict) -> Iterator[tuple]:
             while "." in over and over not in entry:
                 over = over[: over.rindex(".")]
             entry[dewey] = path
-            yield path, entry.get(over, ""), dewey, over if over in entry else None, kind, *_details(name, v, around)
+            yield path, entry.get(over, ""), dewey, over if over in entry else None, kind, *(_details(name, v, around) if details else ())
             if kind == "object":
                 schema[dewey] = path, v
         elif parent in alternatives:

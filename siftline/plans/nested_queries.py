@@ -11,7 +11,7 @@ R = Registry()
 
 @R.add("p5_found")
 def p5_found(spark, d):
-    return nested.schema_parameters(table(spark, d, "tool_catalog"), "tool_id", "parameters", first_only=True).select("tool_id", "node_path", "parent_path")
+    return nested.schema_parameters(table(spark, d, "tool_catalog"), "tool_id", "parameters", first_only=True, details=False).select("tool_id", "node_path", "parent_path")
 
 
 @R.add("p5_nodes")
