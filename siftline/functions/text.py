@@ -121,8 +121,9 @@ def describe(name: Column | str, description: Column | str, params: Column | str
 
 
 def strip_fences(c: Column | str) -> Column:
-    trimmed = F.regexp_replace(_c(c), r"^\s+|\s+$", "")
-    return F.regexp_replace(F.regexp_replace(trimmed, r"^```(?:json)?\s*", ""), r"\s*```$", "")
+    """Without white space around it, and then without a code fence around it and the white space inside that."""
+    trimmed = F.regexp_replace(_c(c), r"\A\s+|\s+\z", "")
+    return F.regexp_replace(F.regexp_replace(trimmed, r"\A```(?:json)?\s*", ""), r"\s*```\z", "")
 
 
 def model_family(model: Column | str) -> Column:

@@ -79,7 +79,11 @@ def gen3(spark, d):
     return held.select("query_id", F.md5(text).alias("siblings"), F.length(text).cast("bigint").alias("n_chars"))
 
 
-@R.add("gen3_cached_replies")
+@R.add(
+    "gen3_cached_replies",
+    """WITH r AS (SELECT query_id, query FROM queries_before_review WHERE query IS NOT NULL), c AS (SELECT DISTINCT query FROM r WHERE query_id % 2 = 0)
+    SELECT query_id::VARCHAR AS name, CASE WHEN c.query IS NOT NULL THEN 'cached ' || r.query WHEN contains(r.query, '?') THEN NULL ELSE 'fresh ' || r.query END AS reply FROM r LEFT JOIN c ON c.query = r.query""",
+)
 def gen3_replies(spark, d):
     """Replies for all prompts: cached ones are reused, each missing one is asked for once, failures give null."""
     rows = table(spark, d, "queries_before_review").where("query is not null").select(F.col("query_id").cast("string").alias("name"), F.col("query").alias("prompt"))
@@ -429,11 +433,15 @@ def idx8(spark, d):
     return c.texts(spark, d).select("name", lengths("text").alias("v")).select("name", ix.normalise(F.col("v")).alias("v"))
 
 
-@R.add("idx10_augment")
+@R.add(
+    "idx10_augment",
+    f"""WITH {c.CATALOG}, cache AS (SELECT description AS d, parameters AS p, min(augmented_description) AS v FROM latest WHERE augmented_description <> '' GROUP BY ALL)
+    SELECT name, coalesce(v, 'Use it when: ' || nullif(trim(description), '')) AS augmented_description FROM latest LEFT JOIN cache ON description IS NOT DISTINCT FROM d AND parameters IS NOT DISTINCT FROM p WHERE coalesce(augmented_description, '') = ''""",
+)
 def idx10(spark, d):
     """Augmented text for the rows that lack it: cached by content, computed once for each missing content; empty is null."""
     rows = c.latest_tools(spark, d).withColumn("k", tx.cache_key(F.lit("augment"), tx.row_hash("name", "description", "parameters")))
     todo = rows.where("coalesce(augmented_description, '') = ''").select("name", "k", F.col("description").alias("text"))
-    cache = rows.where("augmented_description <> ''").select("k", F.col("augmented_description").alias("v")).dropDuplicates(["k"])
+    cache = rows.where("augmented_description <> ''").select("k", F.col("augmented_description").alias("v")).groupBy("k").agg(F.min("v").alias("v"))
     values, _ = ix.cached(todo, cache, lambda m: m.select("k", F.concat(F.lit("Use it when: "), F.nullif(F.trim("text"), F.lit(""))).alias("v")).where("v is not null"))
     return values.select("name", F.col("v").alias("augmented_description"))

@@ -15,10 +15,9 @@ R = Registry()
 DOC_TOKENS = f"tok AS (SELECT doc_id AS id, {c.tokens_sql('text')} AS t FROM documents), lens AS (SELECT id, len(t)::BIGINT AS dl FROM tok), post AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(t) AS term FROM tok) GROUP BY id, term)"
 
 
-@R.add("idx1_postings", f"WITH {DOC_TOKENS} SELECT id, count(*) AS n_terms, sum(tf)::BIGINT AS n_tokens, max(tf)::BIGINT AS top_tf FROM post GROUP BY id")
+@R.add("idx1_postings", f"WITH {DOC_TOKENS} SELECT id, term, tf FROM post")
 def idx1(spark, d):
-    post = ix.postings(ix.tokens(table(spark, d, "documents"), "doc_id", "text"))
-    return post.groupBy("id").agg(F.count("*").alias("n_terms"), F.sum("tf").alias("n_tokens"), F.max("tf").alias("top_tf"))
+    return ix.postings(ix.tokens(table(spark, d, "documents"), "doc_id", "text")).select("id", "term", F.col("tf").cast("bigint").alias("tf"))
 
 
 @R.add("idx3_doc_freq", f"WITH {DOC_TOKENS} SELECT term, count(*) AS df FROM post GROUP BY term")
@@ -34,16 +33,17 @@ def idx3_stats(spark, d):
 
 @R.add(
     "idx2_delete_upsert",
-    f"""WITH docs AS (SELECT doc_id, CASE WHEN doc_id % 10 = 1 THEN lang ELSE text END AS text FROM documents WHERE doc_id % 10 <> 0),
+    f"""WITH docs AS (SELECT doc_id, CASE WHEN doc_id % 10 = 1 THEN 'revised ' || coalesce(text, '') ELSE text END AS text FROM documents WHERE doc_id % 10 <> 0),
     post AS (SELECT doc_id AS id, unnest({c.tokens_sql('text')}) AS term FROM docs)
     SELECT term, count(DISTINCT id) AS df, count(*) AS n FROM post GROUP BY term""",
 )
 def idx2(spark, d):
+    """A tenth of the documents is deleted and another tenth comes again with a changed text, as a change set would."""
     docs = table(spark, d, "documents")
     post = ix.postings(ix.tokens(docs, "doc_id", "text"))
     post = ix.delete(post, docs.where("doc_id % 10 = 0").select(F.col("doc_id").alias("id")))
-    changed = docs.where("doc_id % 10 = 1")
-    post = ix.upsert(post, ix.postings(ix.tokens(changed, "doc_id", "lang")), changed.select(F.col("doc_id").alias("id")))
+    changed = docs.where("doc_id % 10 = 1").withColumn("text", F.concat(F.lit("revised "), F.coalesce("text", F.lit(""))))
+    post = ix.upsert(post, ix.postings(ix.tokens(changed, "doc_id", "text")), changed.select(F.col("doc_id").alias("id")))
     return post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
 
 
@@ -94,13 +94,11 @@ bucket AS (SELECT id, h % 1024 AS bucket, sum(CASE WHEN h >= 2147483648 THEN 1 E
 
 @R.add(
     "idx6_hash_vectors",
-    f"WITH {c.TEXTS}, {HASHED} SELECT t.name AS id, count(b.bucket) AS n_buckets, round(coalesce(max(b.x / sqrt(n.s)), 0), 6) AS top, round(coalesce(sum(b.bucket * b.x / sqrt(n.s)), 0), 4) AS checksum "
-    "FROM texts t LEFT JOIN bucket b ON b.id = t.name LEFT JOIN (SELECT id, sum(x * x) AS s FROM bucket GROUP BY id) n ON n.id = b.id GROUP BY t.name",
+    f"WITH {c.TEXTS}, {HASHED} SELECT b.id, b.bucket::INT AS bucket, round(b.x / sqrt(n.s), 6) AS weight FROM bucket b JOIN (SELECT id, sum(x * x) AS s FROM bucket GROUP BY id) n ON n.id = b.id",
 )
 def idx6(spark, d):
     v = ix.hash_vectors(c.texts(spark, d), "name", "text")
-    checksum = F.aggregate(F.zip_with("buckets", "weights", lambda b, w: b * w), F.lit(0.0), lambda s, x: s + x)
-    return v.select("id", F.size("buckets").cast("bigint").alias("n_buckets"), F.round(F.coalesce(F.array_max("weights"), F.lit(0.0)), 6).alias("top"), F.round(checksum, 4).alias("checksum"))
+    return v.select("id", F.explode(F.arrays_zip("buckets", "weights")).alias("x")).select("id", F.col("x.buckets").alias("bucket"), F.round("x.weights", 6).alias("weight"))
 
 
 UNIT_SQL = "list_transform(v, lambda x: x::DOUBLE / CASE WHEN n = 0 THEN 1 ELSE n END)"

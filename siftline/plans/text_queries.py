@@ -79,11 +79,12 @@ def txt9(spark, d):
 @R.add(
     "txt11_strip_fences",
     """SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(s, '^\\s+|\\s+$', '', 'g'), '^```(?:json)?\\s*', ''), '\\s*```$', '')) AS body
-    FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN chr(10) || '```json' || chr(10) || coalesce(source, '') || chr(10) || '```' || chr(10) ELSE ' ' || coalesce(source, '') || ' ' END AS s FROM documents)""",
+    FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN chr(10) || '```json' || chr(10) || coalesce(text, '') || chr(10) || '```' || chr(10) ELSE ' ' || coalesce(text, '') || ' ' END AS s FROM documents)""",
 )
 def txt11(spark, d):
-    source = F.coalesce("source", F.lit(""))
-    s = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\n```json\n"), source, F.lit("\n```\n"))).otherwise(F.concat(F.lit(" "), source, F.lit(" ")))
+    """Whole texts, half of them fenced, the others as they are, with the fences that some of them have."""
+    text = F.coalesce("text", F.lit(""))
+    s = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\n```json\n"), text, F.lit("\n```\n"))).otherwise(F.concat(F.lit(" "), text, F.lit(" ")))
     return table(spark, d, "documents").select("doc_id", F.md5(tx.strip_fences(s)).alias("body"))
 
 
