@@ -238,3 +238,23 @@ class TestCatalog:
 
     def test_empty(self, spark):
         assert Catalog(spark).search("x") == []
+
+
+def test_no_document_beyond_the_depth_is_among_the_best():
+    import random
+
+    rng = random.Random(1)
+    for k in (1, 3, 5, 10, 20, 31, 40):
+        depth = rt.fusion_depth(k)
+        assert (depth is None) == (k >= 32)
+        n = (depth or 400) + 50
+        for _ in range(20):
+            keyword = rng.sample(range(1, n + 1), n)
+            if rng.random() < 0.5:  # the worst case: first by keyword, late by meaning
+                keyword[rng.randrange(n)] = 1
+            score = lambda r, limit: round((0.6 / (60 + r) if limit is None or r <= limit else 0.0) + 0.4 / (60 + keyword[r - 1]), 8)
+            top = lambda limit: sorted(range(1, n + 1), key=lambda r: (-score(r, limit), r))[:k]
+            assert top(None) == top(depth)
+    for k in range(1, 32):
+        d = rt.fusion_depth(k)
+        assert round(0.6 / (60 + d + 1) + 0.4 / 61, 8) < round(0.6 / (60 + k), 8)
