@@ -330,7 +330,15 @@ def cat2(spark, d):
     return ix.document_frequency(ix.delete(post, gone))
 
 
-@R.add("rrk1_callable")
+OPTION_SQL = """opt AS (SELECT name, CASE WHEN len(params) > 0 THEN t || ' (arguments: ' || array_to_string(list_transform(params, lambda p: p.pname), ', ') || ')' ELSE t END AS option FROM (
+  SELECT name, params, CASE WHEN length(t) > 400 THEN regexp_replace(left(t, 400), ' [^ ]*$', '') || '...' ELSE t END AS t FROM (SELECT name, params, replace(regexp_replace(coalesce(description, ''), '^\\s+|\\s+$', '', 'g'), chr(10), ' ') AS t FROM based)))"""
+
+
+@R.add(
+    "rrk1_callable",
+    f"""WITH {c.TEXTS}, {bm25_sql(TOOL_DOCS)}, {OPTION_SQL}, x AS (SELECT query_id, id, rank, length(option) AS n FROM kw JOIN opt ON opt.name = kw.id)
+    SELECT query_id, arg_max(id, struct_pack(n := n, id := id)) AS pick, round(max(n) / sum(n), 6) AS confidence, string_agg(id, ',' ORDER BY rank) AS ranked FROM x GROUP BY query_id""",
+)
 def rrk1(spark, d):
     """A user's reranker on every shortlist: here the candidate whose option text is longest, sure in proportion."""
 
@@ -339,7 +347,8 @@ def rrk1(spark, d):
         total = sum(len(x["option"]) for x in candidates) or 1
         return {"pick": best["name"], "confidence": len(best["option"]) / total, "ranked": [(x["name"], len(x["option"]) / total) for x in candidates]}
 
-    return rr.rerank(shortlists(spark, d), longest)
+    got = rr.rerank(shortlists(spark, d), longest)
+    return got.select("query_id", "pick", F.round("confidence", 6).alias("confidence"), F.array_join(F.transform("ranked", lambda x: x["name"]), ",").alias("ranked"))
 
 
 def shortlists(spark, d, k=10):
@@ -348,10 +357,6 @@ def shortlists(spark, d, k=10):
     return rt.bm25_top(q, i["postings"], i["df"], i["stats"], k).join(options, "id").join(q.select("query_id", F.col("text").alias("query")), "query_id")
 
 
-OPTION_SQL = """opt AS (SELECT name, CASE WHEN len(params) > 0 THEN t || ' (arguments: ' || array_to_string(list_transform(params, lambda p: p.pname), ', ') || ')' ELSE t END AS option FROM (
-  SELECT name, params, CASE WHEN length(t) > 400 THEN regexp_replace(left(t, 400), ' [^ ]*$', '') || '...' ELSE t END AS t FROM (SELECT name, params, replace(regexp_replace(coalesce(description, ''), '^\\s+|\\s+$', '', 'g'), chr(10), ' ') AS t FROM based)))"""
-
-
 @R.add(
     "rrk2_requests",
     f"""WITH {c.TEXTS}, {bm25_sql(TOOL_DOCS)}, {OPTION_SQL}
@@ -423,14 +428,18 @@ def rrk6(spark, d):
     return rr.cascade(rr.parse_response(responses(spark, d)), second, 0.6)
 
 
-@R.add("idx8_callable_embedder")
+@R.add(
+    "idx8_callable_embedder",
+    f"""WITH {c.TEXTS}, x AS (SELECT name, length(text)::DOUBLE AS a, (length(text) - length(replace(text, ' ', '')))::DOUBLE AS b FROM texts)
+    SELECT name, [round(a / sqrt(a * a + b * b + 1), 9), round(b / sqrt(a * a + b * b + 1), 9), round(1 / sqrt(a * a + b * b + 1), 9)] AS v FROM x""",
+)
 def idx8(spark, d):
     """A user's embedding function on batches of texts; vectors are normalised."""
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def lengths(s: pd.Series) -> pd.Series:
         return s.fillna("").map(lambda x: [float(len(x)), float(x.count(" ")), 1.0])
 
-    return c.texts(spark, d).select("name", lengths("text").alias("v")).select("name", ix.normalise(F.col("v")).alias("v"))
+    return c.texts(spark, d).select("name", lengths("text").alias("v")).select("name", F.transform(ix.normalise(F.col("v")), lambda x: F.round(x, 9)).alias("v"))
 
 
 @R.add(

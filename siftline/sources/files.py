@@ -22,11 +22,11 @@ def as_list(c):
     return F.when(F.col(c).startswith("["), F.from_json(c, "array<string>")).when(F.col(c).isNotNull(), F.array(c))
 
 
-def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON list of catalog rows; parameters stay the text they are."""
+def read_catalog(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A JSON list of catalog rows, or with ``lines`` one row a line, which many tasks can read; parameters stay the text they are."""
     from siftline.operators.catalog import SCHEMA
 
-    return spark.read.schema(SCHEMA).option("multiLine", True).json(path)
+    return spark.read.schema(SCHEMA).option("multiLine", not lines).json(path)
 
 
 def read_cases(spark: SparkSession, path: str, allow_draft: bool = False) -> DataFrame:

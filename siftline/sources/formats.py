@@ -26,6 +26,11 @@ def export(fmt: str) -> Column:
     return F.concat(F.lit('{"type":"function","function":'), body, F.lit("}")) if fmt == "openai" else body
 
 
+def result() -> Column:
+    """A row as an agent reads it in a search result."""
+    return F.concat(F.lit('{"name":'), quote(F.col("name")), F.lit(',"description":'), quote(F.coalesce("description", F.lit(""))), F.lit(',"parameters":'), F.coalesce(F.nullif(F.col("parameters"), F.lit("")), F.lit(EMPTY_SCHEMA)), F.lit("}"))
+
+
 def imported(c: Column | str, fmt: str) -> tuple[Column, Column, Column]:
     """Name, description and parameters of a definition in one of ``FORMATS`` (for openai with or without its wrapper)."""
     j = F.col(c) if isinstance(c, str) else c

@@ -19,7 +19,7 @@ from siftline.operators import rerank as rr
 from siftline.operators.catalog import Catalog
 from siftline.serve import Proxy, start_upstreams
 from siftline.session import clean, materialise, numbered, shared_dir
-from siftline.sources import files, formats, functions, servers
+from siftline.sources import files, formats, functions, servers, stores
 from siftline.streaming.delta import IndexStore, apply_changes, follow
 
 SERVER = textwrap.dedent(
@@ -251,6 +251,61 @@ def test_written_tables_are_deleted_when_asked(spark):
     assert materialise(spark.range(5).toDF("id")).count() == 5
 
 
+def test_a_store_in_tables_keeps_the_contract(spark):
+    store = stores.TableStore(spark)
+    assert isinstance(store, stores.VectorStore) and store.count() == 0
+    items = lambda *rows: spark.createDataFrame(list(rows), stores.ITEMS)
+    ids = lambda *names: spark.createDataFrame([(n,) for n in names], "id string")
+    queries = spark.createDataFrame([(1, [1.0, 0.1]), (2, [0.0, 2.0])], "query_id bigint, v array<double>")
+    assert store.search(queries, 3).count() == 0
+    store.upsert(items(("a", [3.0, 0.0]), ("b", [0.0, 1.0]), ("c", [1.0, 1.0]), ("d", None), (None, [1.0, 0.0])))
+    store.upsert(items(("b", [-1.0, 0.0]), ("e", [0.0, 0.0])))
+    store.delete(ids("c", "gone"))
+    assert store.count() == 3 and sorted(r.id for r in store.contained(ids("a", "a", "c", "e")).collect()) == ["a", "e"]
+    got = {(r.query_id, r.rank): (r.id, r.score) for r in store.search(queries, 2).collect()}
+    assert got[(1, 1)] == ("a", 0.995037) and [got[(2, r)][0] for r in (1, 2)] == ["a", "b"] and len(got) == 4
+
+
+def test_items_are_sent_in_batches(spark, tmp_path):
+    def connect():
+        def write(names, vectors):
+            assert len(names) <= stores.SEND_ROWS
+            for n, v in zip(names, vectors):
+                (tmp_path / n).write_text(json.dumps(v))
+
+        return write
+
+    items = spark.range(0, 1200, 1, 2).selectExpr("cast(id as string) as id", "array(cast(id as double), 1.0) as v")
+    assert stores.send_items(items, connect) == 1200
+    assert len(list(tmp_path.iterdir())) == 1200 and json.loads((tmp_path / "7").read_text()) == [7.0, 1.0]
+    assert stores.send_items(items.limit(0), connect) == 0
+
+
+def test_texts_are_embedded_in_batches_and_put_in_order(spark):
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            texts = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["input"]
+            data = [{"index": i, "embedding": [float(len(t)), float(len(texts) <= 128)]} for i, t in enumerate(texts)]
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"data": data[::-1]}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        rows = spark.range(0, 300, 1, 2).selectExpr("id", "if(id = 5, null, repeat('x', cast(id as int))) as text")
+        got = {r.id: r.v for r in factories.embedded(rows, "id", "text", factories.http_embedder(f"http://127.0.0.1:{server.server_port}/", "m")).collect()}
+    finally:
+        server.shutdown()
+    assert len(got) == 300 and got[5] == [0.0, 1.0]
+    assert all(abs(got[i][0] - i / (i * i + 1) ** 0.5) < 1e-12 for i in range(300) if i != 5)
+    zero = factories.embedded(rows.where("id < 3"), "id", "text", lambda texts: [[0.0, 0.0]] * len(texts)).collect()
+    assert all(r.v == [0.0, 0.0] for r in zero)
+
+
 def test_adapters(spark):
     c = Catalog(spark)
 
