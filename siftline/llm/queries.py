@@ -87,5 +87,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_shares": p2_shares, "p3_found": p3_found, "p3_groups": p3_groups, "p4_token_budget": p4_token_budget, "p4_tool_tokens": p4_tool_tokens, "p7_containers": p7_containers, "p6_ids": p6_ids, "p8_found": p8_found, "p8_redacted": p8_redacted}
 
 
+NORMAL = r"lower(regexp_replace({0}, '[^\p{{L}}\p{{N}}]', '', 'g'))"
+CASES_SQL = f"""l AS (SELECT line_id, CASE WHEN json_valid(line) THEN line::JSON END AS j FROM case_lines),
+    r AS (SELECT 'queries_before_review' AS tab, query_id AS id, query AS q, coalesce(expected, []) AS e FROM queries_before_review
+      UNION ALL SELECT 'case_lines', line_id, CASE WHEN json_type(j, '$.query') = 'VARCHAR' THEN j->>'$.query' END,
+        CASE WHEN json_type(j, '$.expected') = 'VARCHAR' THEN [j->>'$.expected'] WHEN json_type(j, '$.expected') = 'ARRAY' THEN list_transform(list_filter((j->'$.expected')::JSON[], lambda x: json_type(x) = 'VARCHAR'), lambda x: x->>'$') ELSE [] END FROM l WHERE json_type(j) = 'OBJECT'),
+    k AS (SELECT tab, id, {NORMAL.format('q')} AS q, list_sort(list_distinct(list_transform(list_filter(e, lambda x: x IS NOT NULL), lambda x: {NORMAL.format('x')}))) AS e FROM r),
+    g AS (SELECT tab, q, e, min(id) AS keep_id, count(*) AS n_copies FROM k WHERE q <> '' GROUP BY ALL)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p3_found": f"WITH {CASES_SQL} SELECT tab, keep_id, id AS copy_id FROM k JOIN g USING (tab, q, e) WHERE id <> keep_id",
+        "p3_groups": f"WITH {CASES_SQL} SELECT tab, keep_id, n_copies FROM g",
+    }
