@@ -167,28 +167,31 @@ def shared_stretches(records: DataFrame, least: int = LEAST, gram: int = GRAM) -
 _MEETING = "anchor long, whole struct<a:bigint,b:bigint>, text string, w int, hash struct<a:bigint,b:bigint>, lo long, hi long"
 _FACTOR = "whole struct<a:bigint,b:bigint>, w0 int, w1 int"
 _PAIR = pa.struct([("a", pa.int64()), ("b", pa.int64())])
-_MEETING_TYPES = [pa.int64(), _PAIR, pa.string(), pa.int32(), _PAIR, pa.int64(), pa.int64()]
 
 
 def _meeting_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     names = ["anchor", "whole", "text", "w", "hash", "lo", "hi"]
     for batch in batches:
-        rows: list[tuple] = []
-        for text, part in zip(batch.column("text").to_pylist(), batch.column("picked").to_pylist()):
-            grams = [Grams([text], base) for base in (0, 1)] if any(p["hot"] for p in part) else ()
-            for p in part:
-                begin, n = p["begin"], p["windows"]
-                if not p["hot"]:
-                    rows.append((p["anchor"], p["whole"], text[begin : begin + n - 1 + least], None, None, p["lo"], p["hi"]))
-                    continue
-                at = begin + np.arange(n)
-                hashes = [g.hash(at, at + least).view(np.int64).tolist() for g in grams]
-                rows += [(p["anchor"], p["whole"], None, w, {"a": x, "b": y}, p["lo"], p["hi"]) for w, (x, y) in enumerate(zip(*hashes))]
-            if len(rows) >= 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _MEETING_TYPES)], names)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _MEETING_TYPES)], names)
+        lists = batch.column("picked")
+        parts, texts = lists.flatten(), batch.column("text").to_pylist()
+        ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        owner = np.repeat(np.arange(len(texts)), np.diff(ends))
+        begin, windows = (parts.field(c).to_numpy() for c in ("begin", "windows"))
+        hot = parts.field("hot").to_numpy(zero_copy_only=False)
+        whole = [parts.field(c) for c in ("anchor", "whole", "lo", "hi")]
+        cold = np.flatnonzero(~hot)
+        for at in range(0, len(cold), 50_000):
+            some = cold[at : at + 50_000]
+            runs = [texts[t][i : i + n] for t, i, n in zip(owner[some].tolist(), begin[some].tolist(), (windows[some] - 1 + least).tolist())]
+            anchor, block, lo, hi = (c.take(pa.array(some)) for c in whole)
+            yield pa.RecordBatch.from_arrays([anchor, block, pa.array(runs, pa.string()), pa.nulls(len(some), pa.int32()), pa.nulls(len(some), _PAIR), lo, hi], names)
+        for t in np.unique(owner[hot]):
+            mine = ends[t] + np.flatnonzero(hot[ends[t] : ends[t + 1]])
+            w = np.concatenate([np.arange(n) for n in windows[mine].tolist()])
+            start = np.repeat(begin[mine], windows[mine]) + w
+            hashes = [pa.array(Grams([texts[t]], base).hash(start, start + least).view(np.int64)) for base in (0, 1)]
+            anchor, block, lo, hi = (c.take(pa.array(np.repeat(mine, windows[mine]))) for c in whole)
+            yield pa.RecordBatch.from_arrays([anchor, block, pa.nulls(len(w), pa.string()), pa.array(w, pa.int32()), pa.StructArray.from_arrays(hashes, ["a", "b"]), lo, hi], names)
 
 
 def match(x: str, i: int, y: str, j: int) -> int:
@@ -240,24 +243,25 @@ def factor(blocks: list[tuple[str, int, int]], least: int) -> Iterator[tuple[int
 def _parse(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """The factors of the blocks of each anchor; rows come sorted by anchor."""
     anchor, wholes, blocks = None, [], []
-    out: list[tuple] = []
+    out: list[tuple[int, int, int, int]] = []
 
     def close() -> None:
-        out.extend((wholes[k], a, b) for k, a, b in factor(blocks, least))
+        out.extend((*wholes[k], a, b) for k, a, b in factor(blocks, least))
         wholes.clear()
         blocks.clear()
 
     def batch() -> pa.RecordBatch:
-        columns = list(zip(*out)) or [(), (), ()]
+        a, b, w0, w1 = (np.array(c, np.int64) for c in (zip(*out) if out else [()] * 4))
         out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], _PAIR), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32())], ["whole", "w0", "w1"])
+        return pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([pa.array(a), pa.array(b)], ["a", "b"]), pa.array(w0.astype(np.int32)), pa.array(w1.astype(np.int32))], ["whole", "w0", "w1"])
 
     for part in batches:
-        for a, whole, *block in zip(*(part.column(c).to_pylist() for c in ("anchor", "whole", "text", "lo", "hi"))):
-            if a != anchor:
+        columns = [part.column("anchor"), part.column("whole").field("a"), part.column("whole").field("b"), *(part.column(c) for c in ("text", "lo", "hi"))]
+        for x, a, b, *block in zip(*(c.to_pylist() for c in columns)):
+            if x != anchor:
                 close()
-                anchor = a
-            wholes.append(whole)
+                anchor = x
+            wholes.append((a, b))
             blocks.append(tuple(block))
         if len(out) > 50_000:
             yield batch()
