@@ -16,7 +16,7 @@ from siftline.plans import common as c
 from siftline.plans.registry import Registry
 from siftline.plans.retrieval_queries import TOOL_DOCS, bm25_sql, index
 from siftline.plans.text_queries import DESCRIBE_SQL
-from siftline.session import numbered, table
+from siftline.session import materialise, numbered, table
 from siftline.sources import files, formats, servers
 
 R = Registry()
@@ -69,7 +69,7 @@ def gen2(spark, d):
 )
 def gen3(spark, d):
     """What a drafting prompt shows as siblings, here the three best rows for a query."""
-    docs = c.texts(spark, d, augmented=False).persist()
+    docs = materialise(c.texts(spark, d, augmented=False), "texts")
     tok = ix.tokens(docs, "name", "text")
     post = ix.postings(tok)
     found = rt.bm25_top(c.search_queries(spark, d), post, ix.document_frequency(post), ix.statistics(ix.lengths(tok)), 3)
@@ -409,7 +409,7 @@ def rrk8(spark, d):
 )
 def rrk5(spark, d):
     """Two stages with keyword search as the picker: the best group by its members' names, then the best row in it."""
-    docs = c.texts(spark, d, augmented=False).persist()
+    docs = materialise(c.texts(spark, d, augmented=False), "texts")
     groups = rr.group_documents(docs.select("name", "grp"))
     tok = ix.tokens(groups, "id", "text")
     post, q = ix.postings(tok), c.search_queries(spark, d)

@@ -10,16 +10,17 @@ from siftline.operators import retrieve as rt
 from siftline.plans import common as c
 from siftline.plans.index_queries import HASHED
 from siftline.plans.registry import Registry
-from siftline.session import table
+from siftline.session import materialise, table
 
 R = Registry()
 DIM = ix.DIM
 
 
 def index(spark, d) -> dict:
-    docs = c.texts(spark, d).persist()
+    """The index of the catalog; texts and postings are used on both sides of a search, so they are written once."""
+    docs = materialise(c.texts(spark, d), "texts")
     tok = ix.tokens(docs, "name", "text")
-    post = ix.postings(tok).persist()
+    post = materialise(ix.postings(tok), "postings")
     return {
         "postings": post,
         "df": ix.document_frequency(post),
@@ -84,7 +85,7 @@ def ret2(spark, d):
 
 @R.add("ret3_sparse_cosine", f"WITH {c.TEXTS}, {sparse_sql('10')} SELECT query_id, id, score, rank::INT AS rank FROM sem")
 def ret3(spark, d):
-    return rt.dense_top(embed(c.search_queries(spark, d)), index(spark, d)["vectors"], 10, dim=DIM)
+    return rt.dense_top(embed(c.search_queries(spark, d)), ix.hash_vectors(c.texts(spark, d), "name", "text"), 10, dim=DIM)
 
 
 @R.add("ret_hybrid_rrf", f"WITH {c.TEXTS}, {bm25_sql(TOOL_DOCS, '50')}, {sparse_sql('50')}, {FUSED} SELECT query_id, id, rank::INT AS rank, score, semantic_rank::INT AS semantic_rank, keyword_rank::INT AS keyword_rank FROM hybrid")
@@ -175,7 +176,7 @@ def ret11(spark, d):
 )
 def ret12(spark, d):
     """The best row among those a case shows (here: its server's tools), with statistics of those rows alone."""
-    docs = c.texts(spark, d, augmented=False).persist()
+    docs = materialise(c.texts(spark, d, augmented=False), "texts")
     q = table(spark, d, "queries_before_review").where("query_id % 100 = 0").select("query_id", F.col("query").alias("text"), "server")
     shown = q.join(docs, q.server == docs.grp).select("query_id", F.col("name").alias("id")).distinct()
     return rt.best_of_subset(q.select("query_id", "text"), shown, ix.tokens(docs, "name", "text"))
