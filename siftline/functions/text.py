@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftline.operators.nested import loads
+
 # Words that keyword search leaves out.
 STOP_WORDS = (
     "a an the of to for in on and or is are be with by from at as it this that what how do does can i me my you your please"
@@ -60,10 +62,10 @@ def parameter_list(parameters: pd.Series) -> pd.Series:
 
     def one(text):
         try:
-            schema = json.loads(text) if text else None
+            schema = loads(text) if text else None
             if isinstance(schema, str):
-                schema = json.loads(schema)
-        except (ValueError, RecursionError):
+                schema = loads(schema)
+        except ValueError:
             return []
         properties = schema.get("properties") if isinstance(schema, dict) else None
         if not isinstance(properties, dict):

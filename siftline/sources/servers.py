@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from siftline.functions import text as tx
+from siftline.operators import nested
 
 SERVER = "name string, command string, args array<string>, env map<string,string>, prefix boolean, package string"
 RAW = "server string, name string, description string, schema string, error string"
@@ -47,14 +48,17 @@ def clean_schema(schemas: pd.Series) -> pd.Series:
 
     def one(text):
         try:
-            schema = json.loads(text) if text else {}
-        except (ValueError, RecursionError):
+            schema = nested.loads(text) if text else {}
+        except ValueError:
             schema = {}
         if not isinstance(schema, dict) or schema.get("type", "object") != "object":
             schema = {}
         schema = {"type": "object", **{k: v for k, v in schema.items() if k != "$schema"}}
         schema.setdefault("properties", {})
-        return json.dumps(schema, ensure_ascii=False)
+        try:
+            return json.dumps(schema, ensure_ascii=False)
+        except RecursionError:
+            return nested.dumps(schema)
 
     return schemas.map(one).astype(object)
 

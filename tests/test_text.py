@@ -85,3 +85,11 @@ def test_tokenise_as_defined(spark, texts):
 
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", tx.tokenize("t").alias("x")).orderBy("i")
     assert [r.x for r in df.collect()] == [define(t) for t in texts]
+
+
+def test_schemas_of_any_depth(spark):
+    from siftline.sources.servers import clean_schema
+
+    deep = '{"type":"object","properties":{"a":{"type":"string","items":' + "[" * 50_000 + "]" * 50_000 + '},"b":{"description":"x"}}}'
+    row = spark.createDataFrame([(deep,)], "p string").select(tx.parameter_list("p").alias("params"), clean_schema("p").alias("clean")).first()
+    assert [(p.pname, p.kind, p.description) for p in row.params] == [("a", "string", None), ("b", None, "x")] and row.clean == deep
