@@ -19,6 +19,8 @@ STOP_WORDS = (
 # types, not a type string: workers import this module too, and have no session to parse one
 PARAMETERS = T.ArrayType(T.StructType([T.StructField(f, T.StringType()) for f in ("pname", "kind", "description")]))
 CACHE_SEPARATOR = 31
+# White space of any script, as one set for all engines.
+SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def _c(c: Column | str) -> Column:
@@ -124,8 +126,8 @@ def describe(name: Column | str, description: Column | str, params: Column | str
 
 def strip_fences(c: Column | str) -> Column:
     """Without white space around it, and then without a code fence around it and the white space inside that."""
-    trimmed = F.regexp_replace(_c(c), r"\A\s+|\s+\z", "")
-    return F.regexp_replace(F.regexp_replace(trimmed, r"\A```(?:json)?\s*", ""), r"\s*```\z", "")
+    trimmed = F.regexp_replace(_c(c), rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.regexp_replace(F.regexp_replace(trimmed, rf"\A```(?:json)?{SPACE}*", ""), rf"{SPACE}*```\z", "")
 
 
 def model_family(model: Column | str) -> Column:

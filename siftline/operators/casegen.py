@@ -25,8 +25,7 @@ PROMPT = """TARGET is the definition of one tool. SIBLINGS are definitions of to
 Draft test messages for a tool search. Each must read like something a person types into a chat window without knowing that
 tools exist: no identifiers, no phrases lifted from the definitions, concrete made-up names, dates and amounts where they help.
 
-Return one JSON object and nothing around it, of this shape:
-{"direct": ["...", "..."], "confusable": {"query": "...", "confused_with": "..."}, "multi": {"query": "...", "also": "..."}}
+The reply is read by a program that knows three keys, {"direct": [], "confusable": {}, "multi": {}}, and takes no other text:
 - "direct": a list of 2 strings, messages that TARGET alone can serve.
 - "confusable": an object. Its "query" is a message that seems to fit one of SIBLINGS at first sight but can only be served by
   TARGET; its "confused_with" is the name of that sibling.

@@ -78,7 +78,7 @@ def txt9(spark, d):
 
 @R.add(
     "txt11_strip_fences",
-    """SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(s, '^\\s+|\\s+$', '', 'g'), '^```(?:json)?\\s*', ''), '\\s*```$', '')) AS body
+    f"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(s, '^{tx.SPACE}+|{tx.SPACE}+$', '', 'g'), '^```(?:json)?{tx.SPACE}*', ''), '{tx.SPACE}*```$', '')) AS body
     FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN chr(10) || '```json' || chr(10) || coalesce(text, '') || chr(10) || '```' || chr(10) ELSE ' ' || coalesce(text, '') || ' ' END AS s FROM documents)""",
 )
 def txt11(spark, d):

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -93,3 +94,13 @@ def test_schemas_of_any_depth(spark):
     deep = '{"type":"object","properties":{"a":{"type":"string","items":' + "[" * 50_000 + "]" * 50_000 + '},"b":{"description":"x"}}}'
     row = spark.createDataFrame([(deep,)], "p string").select(tx.parameter_list("p").alias("params"), clean_schema("p").alias("clean")).first()
     assert [(p.pname, p.kind, p.description) for p in row.params] == [("a", "string", None), ("b", None, "x")] and row.clean == deep
+
+
+def test_fences_and_white_space_of_any_script(spark):
+    texts = ["\u3000```json\n {}\x0b```\u2028", "``` a```", "a ```", "```json", "\x1c x \x85", "", None, "``` ```", "x\n```\ny"]
+
+    def plain(s):
+        return None if s is None else re.sub(r"\s*```$", "", re.sub(r"^```(?:json)?\s*", "", s.strip()))
+
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(tx.strip_fences("t")).collect()]
+    assert got == [plain(t) for t in texts]
