@@ -2,6 +2,7 @@ import math
 import zlib
 from collections import Counter
 
+import __spark_entry__ as entry
 import pytest
 from pyspark.sql import functions as F
 
@@ -258,3 +259,58 @@ def test_no_document_beyond_the_depth_is_among_the_best():
     for k in range(1, 32):
         d = rt.fusion_depth(k)
         assert round(0.6 / (60 + d + 1) + 0.4 / 61, 8) < round(0.6 / (60 + k), 8)
+
+
+def many(n_docs, n_queries, words=40):
+    """Documents and queries that all share a word; equal texts and missing ones among them."""
+    import random
+
+    rnd = random.Random(3)
+    text = lambda n: " ".join(["common", *(f"w{int(rnd.expovariate(0.1)) % words}" for _ in range(n))])
+    rows = [(f"t{rnd.randrange(10**6):06d}_{i}", None if i % 97 == 0 else "common w1 w2" if i % 7 == 0 else text(9), [["mail"], ["other", "mail"], ["finance"], None, []][i % 5]) for i in range(n_docs)]
+    return rows, [None, "", "common", "no such thing", *(text(3) for _ in range(n_queries - 4))]
+
+
+def shuffled(spark, df):
+    """Rows of the result and MB that were shuffled for it."""
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    rows = df().collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return rows, (written() - before) / 1e6
+
+
+def plain(rows):
+    return sorted(map(tuple, rows), key=repr)
+
+
+def write_tables(spark, path, rows, texts):
+    """The catalog and the drafted cases as the registered queries read them."""
+    tags = {"mail": "mailkite", "finance": "ledgerly"}
+    tools = [(i, n, t, None, None if g is None else [tags.get(x, x) for x in g], None, {"server": "s"}, None) for i, (n, t, g) in enumerate(rows)]
+    spark.createDataFrame(tools, "tool_id bigint, name string, description string, parameters string, tags array<string>, augmented_description string, metadata map<string,string>, loaded_at timestamp").write.parquet(f"{path}/tool_catalog.parquet")
+    cases = [(100 * i, t, [rows[i][0]], None, "s", "ok") for i, t in enumerate(texts)]
+    spark.createDataFrame(cases, "query_id bigint, query string, expected array<string>, also_accept array<string>, server string, status string").write.parquet(f"{path}/queries_before_review.parquet")
+
+
+@pytest.mark.parametrize("block", [16_384, 7])
+def test_tagged_search_of_many_queries_is_the_search(spark, monkeypatch, block):
+    monkeypatch.setattr(rt, "KEYWORD_BLOCK", block)
+    rows, texts = many(900, 20)
+    d, q = docs(spark, rows).repartition(3), queries(spark, *texts)
+    named = d.select(F.col("name").alias("id"), "text", "tags")
+    for tags, k in ((["mail"], 10), (["mail", "finance"], 3), (["unknown"], 10)):
+        want = rt.search(q, tables(spark, rows), k, tags=tags, embed=embed, dim=ix.DIM).collect()
+        got = rt.search_tagged(q, named, tags, k, embed, ix.DIM)
+        assert got.columns == ["query_id", "id", "rank", "score", "semantic_rank", "keyword_rank"]
+        assert plain(got.collect()) == plain(want) and (len(want) == 20 * k or tags == ["unknown"])
+    if block > 20:
+        # more than fusion_depth knows a limit for: all documents are candidates
+        assert plain(rt.search_tagged(q, named, ["mail"], 40, embed, ix.DIM).collect()) == plain(rt.search(q, tables(spark, rows), 40, tags=["mail"], embed=embed, dim=ix.DIM).collect())
+
+
+def test_tagged_search_shuffles_no_table_of_queries_times_documents(spark, tmp_path):
+    rows, texts = many(4_000, 200)
+    write_tables(spark, tmp_path, rows, texts)
+    found, mb = shuffled(spark, lambda: entry.queries()["ret5_tag_filter"](spark, str(tmp_path)))
+    assert len(found) == 200 * 10 and mb < 5
