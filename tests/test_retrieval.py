@@ -314,3 +314,22 @@ def test_tagged_search_shuffles_no_table_of_queries_times_documents(spark, tmp_p
     write_tables(spark, tmp_path, rows, texts)
     found, mb = shuffled(spark, lambda: entry.queries()["ret5_tag_filter"](spark, str(tmp_path)))
     assert len(found) == 200 * 10 and mb < 5
+
+
+@pytest.mark.parametrize("block", [16_384, 7])
+def test_keyword_search_of_many_queries_is_bm25_top(spark, monkeypatch, block):
+    monkeypatch.setattr(rt, "KEYWORD_BLOCK", block)
+    rows, texts = many(900, 20)
+    t, q = tables(spark, rows), queries(spark, *texts)
+    for some, k in ((rows, 10), (rows, 1), (rows, 1000), ([], 10)):
+        t = tables(spark, some)
+        got = rt.keyword_top(q, ix.tokens(docs(spark, some).repartition(3), "name", "text"), k)
+        want = rt.bm25_top(q, t["postings"], t["df"], t["stats"], k)
+        assert got.dtypes == want.dtypes and plain(got.collect()) == plain(want.collect())
+
+
+def test_comparison_shuffles_no_table_of_queries_times_documents(spark, tmp_path):
+    rows, texts = many(4_000, 200)
+    write_tables(spark, tmp_path, rows, texts)
+    found, mb = shuffled(spark, lambda: entry.queries()["eva5_compare"](spark, str(tmp_path)))
+    assert len(found) == 4 and mb < 3
