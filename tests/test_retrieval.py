@@ -301,12 +301,12 @@ def test_tagged_search_of_many_queries_is_the_search(spark, monkeypatch, block):
     named = d.select(F.col("name").alias("id"), "text", "tags")
     for tags, k in ((["mail"], 10), (["mail", "finance"], 3), (["unknown"], 10)):
         want = rt.search(q, tables(spark, rows), k, tags=tags, embed=embed, dim=ix.DIM).collect()
-        got = rt.search_tagged(q, named, tags, k, embed, ix.DIM)
+        got = rt.search_tagged(q, named, tags, k)
         assert got.columns == ["query_id", "id", "rank", "score", "semantic_rank", "keyword_rank"]
         assert plain(got.collect()) == plain(want) and (len(want) == 20 * k or tags == ["unknown"])
     if block > 20:
         # more than fusion_depth knows a limit for: all documents are candidates
-        assert plain(rt.search_tagged(q, named, ["mail"], 40, embed, ix.DIM).collect()) == plain(rt.search(q, tables(spark, rows), 40, tags=["mail"], embed=embed, dim=ix.DIM).collect())
+        assert plain(rt.search_tagged(q, named, ["mail"], 40).collect()) == plain(rt.search(q, tables(spark, rows), 40, tags=["mail"], embed=embed, dim=ix.DIM).collect())
 
 
 def test_tagged_search_shuffles_no_table_of_queries_times_documents(spark, tmp_path):
